@@ -5,44 +5,18 @@ Nothing outside :mod:`cairn.llm` imports this module.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.durable import drop_durable, durable, scan_parts, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step holds at once (a longer document is one step of its own).
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written.
-
-    Cuts the lineage: a lost executor costs the reading tasks only, and the scan has true size statistics.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def scan_parts(df: DataFrame) -> int:
-    """Number of tasks that read ``df``: it grows with the input, and so do shuffles that are sized by it."""
-    spark = df.sparkSession
-    return max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def columns(df: DataFrame, *names: str, text: str | None = None) -> DataFrame:
     """Only the named columns, the text as a non-null string; other columns, clashing names included, stay behind."""
     out = [F.col(n) for n in names]
