@@ -174,10 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: FmParams = FmParams()) -> Model:
     return train(index, value, offsets, np.array([r.y for r in got], np.float64), p)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the ``score`` of every whole text."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score of every whole text in the column ``out``."""
     names = list(keep)
-    schema = docs.select(*names).schema.add("score", "double")
+    schema = docs.select(*names).schema.add(out, "double")
     shared = docs.sparkSession.sparkContext.broadcast((model.params, model.bias, model.w, model.v))
     at = names.index("text") if "text" in names else len(names)
 
@@ -185,11 +185,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         m = Model(*shared.value)
         for batch in base.text_steps(batches):
             s = m.score(*base.flat(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.round(s, 12))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.round(s, 12))], [*names, out])
 
     return docs.select(*(F.col(f"`{c}`") for c in (names if "text" in names else [*names, "text"]))).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    return score(docs, model, tuple(docs.columns), "__score").filter(F.col("__score") >= threshold).drop("__score")
+
+
 def op6_quality_fm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

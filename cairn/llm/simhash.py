@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import base
@@ -187,15 +187,44 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def components(docs: DataFrame, bits: int = 4, shingle: int = 4, plan: Layout | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every document: the smallest doc_id that links of at most ``bits`` bits reach."""
-    prints = base.durable(fingerprints(docs, shingle), "simhash")
+def labels(prints: DataFrame, bits: int = 4, plan: Layout | None = None) -> DataFrame:
+    """(fp, component_id, label) of the different fingerprints of (doc_id, fp); ``label`` names the component."""
     distinct = base.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     near = connected_components(links(distinct.select("fp"), bits, plan))
-    label = F.coalesce("component", "fp")
-    classes = distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", label.alias("label"))
+    classes = distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     heads = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(classes.join(heads, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return classes.join(heads, "label").select("fp", "component_id", "label")
+
+
+def components(docs: DataFrame, bits: int = 4, shingle: int = 4, plan: Layout | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every document: the smallest doc_id that links of at most ``bits`` bits reach."""
+    prints = base.durable(fingerprints(docs, shingle), "simhash")
+    return prints.join(labels(prints, bits, plan).drop("label"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component, that of smallest doc_id, with all its columns.
+
+    Of repeated rows, and of a component without any doc_id, the row whose text has the smallest hash stays.
+    """
+    prints = base.durable(fingerprints(docs, shingle), "simhash")
+    found = base.durable(prints.join(labels(prints, bits), "fp").select("doc_id", "fp", "component_id", "label"), "components")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if kept.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").isEmpty() and kept.filter("doc_id is null").isEmpty():
+        return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    # ids do not tell rows apart: deal the rows of smallest doc_id by component
+    names = docs.columns
+
+    def run(batches):
+        for batch in base.text_steps(batches):
+            fp = fingerprints_of(*base.flat(batch.column("text")), shingle)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*names, "__fp"])
+
+    rows = docs.mapInArrow(run, docs.schema.add("__fp", "long"))
+    heads = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__f"), F.col("label").alias("__label")).distinct()
+    near = rows.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")))
+    first = Window.partitionBy("__label").orderBy(F.xxhash64("text"))
+    return near.withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*(F.col(f"`{c}`") for c in names))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
