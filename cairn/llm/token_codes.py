@@ -156,17 +156,17 @@ def library_cache(vocab: str) -> WordCoder:
 
 
 def write_token_files(docs: DataFrame, vocab: str, end_id: int = END_ID, chunk_bits: int = 8) -> DataFrame:
-    """Durable shards (first_doc, part, shard, n_docs, n_tokens, codes) of all documents, each with ``end_id`` appended."""
+    """Durable shards (first_doc, part, shard, before, n_docs, n_tokens, codes) of all documents, each with ``end_id`` appended."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, shard, cache = TaskContext.get().partitionId(), 0, library_cache(vocab)
         tail = np.array([end_id], np.uint32)
-        doc_ids, ids, size = [], [], 0
+        doc_ids, ids, size, before = [], [], 0, 0
 
         def row():
-            return pa.RecordBatch.from_pydict({"first_doc": pa.array([doc_ids[0]], pa.int64()), "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "codes": pa.array([shard_bytes(doc_ids, ids, chunk_bits)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"first_doc": pa.array([doc_ids[0]], pa.int64()), "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "codes": pa.array([shard_bytes(doc_ids, ids, chunk_bits)], pa.binary())})
 
         for batch in base.text_steps(batches, 4 * base.STEP_BYTES):
             flat, o = cache.column(batch.column("text"))
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = END_ID, chunk_b
                 x = np.concatenate([flat[a:b], tail])
                 if ids and size + len(x) > SHARD_TOKENS:
                     yield row()
-                    shard, doc_ids, ids, size = shard + 1, [], [], 0
+                    shard, before, doc_ids, ids, size = shard + 1, before + size, [], [], 0
                 doc_ids.append(d)
                 ids.append(x)
                 size += len(x)
@@ -183,16 +183,18 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = END_ID, chunk_b
 
     rows = base.columns(docs, "doc_id", text="text")
     dealt = rows.repartitionByRange(base.scan_parts(rows), "doc_id").sortWithinPartitions("doc_id")
-    return base.durable(dealt.mapInArrow(run, "first_doc long, part int, shard int, n_docs long, n_tokens long, codes binary"), "tokens")
+    return base.durable(dealt.mapInArrow(run, "first_doc long, part int, shard int, before long, n_docs long, n_tokens long, codes binary"), "tokens")
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, all from the shards' bytes.
 
-    Starts come from a running sum over shards, a row for about a million tokens, not over documents.
+    A shard knows the tokens before it in its part; those before its part come from a running sum over parts, one small
+    row a writing task, which is what is broadcast.
     """
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    starts = parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -203,7 +205,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(o, o[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(s.offsets[:-1] + first), pa.array(np.diff(s.offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(starts, ["part", "shard"]).select("codes", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(F.broadcast(starts), "part").select("codes", (F.col("base") + F.col("before")).alias("base")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_codes(spark, sf_dir: str) -> DataFrame:
