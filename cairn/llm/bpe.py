@@ -138,7 +138,8 @@ def coder(vocab: str) -> tuple[Bpe, WordCoder]:
     """Tables and word cache of a file; one of each a Python worker, kept between tasks."""
     if vocab not in _CODERS:
         bpe = Bpe(vocab)
-        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_text))
+        # a worker lives on between tasks and stages, so what it keeps is small
+        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_text, 50_000), most=150_000)
     return _CODERS[vocab]
 
 

@@ -40,11 +40,11 @@ from cairn.llm import base
 LENGTH = 100
 GRAM = 37
 #: Anchors that a map task puts together at once.
-FLUSH = 400_000
+FLUSH = 200_000
 #: Different segments of an anchor that one task sorts at once; more are dealt to several tasks.
 SEGMENTS = 1 << 14
 #: Bytes of segments that are sorted at once (whole groups: one may be more).
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -94,13 +94,14 @@ class WordCoder:
 
     def words(self, keys: list[bytes]) -> list[bytes]:
         known = self.known
-        if len(known) > self.most:
+        if len(known) >= self.most:
             known.clear()
         out = list(map(known.get, keys))
         fresh = [k for k, v in zip(keys, out) if v is None]
         if fresh:
             new = dict(zip(fresh, self.encode([k.decode() for k in fresh])))
-            known.update((k, v) for k, v in new.items() if len(k) <= self.longest)
+            room = self.most - len(known)
+            known.update((k, v) for k, v in list(new.items())[: max(0, room)] if len(k) <= self.longest)
             out = [new[k] if v is None else v for k, v in zip(keys, out)]
         return out
 
