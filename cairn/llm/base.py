@@ -5,6 +5,8 @@ Nothing outside :mod:`cairn.llm` imports this module.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,22 @@ def columns(df: DataFrame, *names: str, text: str | None = None) -> DataFrame:
 
 def text_steps(batches, most: int = STEP_BYTES):
     """Slices of Arrow batches whose ``text`` column holds at most ``most`` bytes (or one row)."""
+    try:
+        yield from _text_steps(batches, most)
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back at a task's end: Python workers live on beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _text_steps(batches, most: int):
     for batch in batches:
         sizes = pc.binary_length(pc.fill_null(batch.column("text"), "")).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)

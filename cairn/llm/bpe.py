@@ -177,9 +177,24 @@ def decode(encoded: DataFrame, vocab: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, vocab: str) -> DataFrame:
+    """(doc_id, ids, text): every whole text encoded, and decoded from its ids; both in one pass by one worker a task."""
+
+    def run(batches):
+        bpe, words = coder(vocab)
+        for batch in base.text_steps(batches, base.STEP_BYTES // 2):
+            ids, o = words.column(batch.column("text"))
+            codes = ids.astype("<u4")
+            parts = [codes[a:b] for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
+            texts = pa.array([bpe.decode(x) for x in parts], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary()), texts], ["doc_id", "ids", "text"])
+
+    return base.columns(docs, "doc_id", text="text").mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def op5_bpe_codec(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocab = public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab), vocab)
+    out = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab)
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))

@@ -292,6 +292,7 @@ def sort_open(marks: DataFrame, docs: DataFrame, length: int, parts: int, most:
                 size += sum(map(len, text[i:j]))
         if held:
             yield from chunk(held)
+        base.trim()
 
     return rows.repartition(parts, "h", "part").sortWithinPartitions("h", "part", "doc_id", "loc").select("h", "part", "doc_id", "loc", "tasks", "text").mapInArrow(run, SPANS)
 

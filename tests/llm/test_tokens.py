@@ -72,4 +72,5 @@ def test_bpe_round_trip(spark, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert hashlib.sha256(got[i].ids).digest() == hashlib.sha256(np.array(ids, "<u4").tobytes()).digest()
         assert got[i].text == library.decode(ids, skip_special_tokens=False)
+    assert sorted(bpe.round_trip(rows(spark, texts), VOCAB).collect()) == sorted(got.values())
     assert bpe.encode(rows(spark, []), VOCAB).count() == 0
