@@ -10,7 +10,7 @@ are kept by bucket, and only the bucket in which the budget ends is sorted. The
 documents are then chosen by a filter as they are read; texts never shuffle.
 
 Edge cases: a null text has no tokens; null domain, language or source are a value of their own (``?``); repeated rows
-stay or go together; an empty table gives an empty table; a budget beyond all capacity takes everything ``max_epochs``
+stay or go together; a leaf without tokens is taken once; an empty table gives an empty table; a budget beyond all capacity takes everything ``max_epochs``
 times; clashing extra columns are kept and do no harm (helper columns start with ``__mix_``).
 """
 
@@ -119,7 +119,7 @@ def cuts(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame |
     amounts = budgets({p: t for p, (t, _) in leaves.items()}, mix, int(mix.fraction * sum(t for t, _ in leaves.values())))
     rows = []
     for p, (tokens, n) in leaves.items():
-        whole, rest = divmod(amounts[p], tokens) if tokens else (0, 0)
+        whole, rest = divmod(amounts[p], tokens) if tokens else (1, 0)
         if whole >= mix.max_epochs:
             whole, rest = mix.max_epochs, 0
         rows.append((*p, int(whole), int(rest), max(1, -(-n // BUCKET))))

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm import base
 from cairn.operators.components import connected_components
@@ -220,7 +221,7 @@ def one_of_each(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
             fp = fingerprints_of(*base.flat(batch.column("text")), shingle)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*names, "__fp"])
 
-    rows = docs.mapInArrow(run, docs.schema.add("__fp", "long"))
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
     heads = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__f"), F.col("label").alias("__label")).distinct()
     near = rows.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")))
     first = Window.partitionBy("__label").orderBy(F.xxhash64("text"))
