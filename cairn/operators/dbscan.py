@@ -8,12 +8,15 @@ components of core points. A border point goes to the cluster of its lowest core
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.geometry import in_box, within
 from cairn.operators.components import connected_components
-from cairn.operators.neighbors import cell, eps_neighbors, join_near, valid
+from cairn.operators.neighbors import FAR, SLACK, cell, eps_neighbors, join_near, valid
 from cairn.operators.points import axes, check
 from cairn.plans.durable import durable
 
@@ -32,49 +35,91 @@ def dense_relabel(members: DataFrame, label: str = "component") -> DataFrame:
 
 
 def dbscan(pts: DataFrame, eps: float, min_pts: int = 5) -> DataFrame:
-    """(id, label, is_core) of every point."""
+    """(id, label, is_core) of every point. Points with a coordinate that is not finite are noise (core by themselves
+    where ``min_pts`` is zero or less, as they have no neighbours)."""
     check(pts, eps)
     members = _few(pts, eps, min_pts) if axes(pts) else _many(pts, eps, min_pts)
-    flags = members.select(F.col("id").alias("m"), "is_core", "component")
-    labels = dense_relabel(flags.select(F.col("m").alias("id"), "component")).select(F.col("id").alias("m"), "label")
-    found = flags.select("m", "is_core").join(labels, "m")
+    if min_pts <= 0:
+        alone = pts.select("id").join(members.select(F.col("id").alias("m")), F.col("id") == F.col("m"), "left_anti")
+        members = members.union(alone.select("id", F.lit(True), "id"))
+    firsts = members.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("first"))
+    ranks = firsts.select("c", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("label"))
+    found = members.join(ranks, F.col("component") == F.col("c")).select(F.col("id").alias("m"), "label", "is_core")
     return pts.select("id").join(found, F.col("id") == F.col("m"), "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
 def _few(pts: DataFrame, eps: float, min_pts: int) -> DataFrame:
-    """(id, is_core, component) of clustered points, by grids.
+    """(id, is_core, component) of clustered points, by fine cells of side eps / sqrt(d).
 
-    Core points of one fine cell (side eps / sqrt(d)) are neighbours of each other: they hang on the cell's smallest id,
-    and of the links between two fine cells one is kept, so edges grow with cells, not with pairs of points.
+    Points of one fine cell are neighbours. A cell of ``min_pts`` points is all core, so neighbours are counted for the
+    points of sparser cells only: their pairs grow with the points, whatever the density. Clusters are components of
+    cells. A cell's outermost points link most cells; pairs of points are compared only between cells that these leave
+    unlinked and in different components.
     """
     names = axes(pts)
-    good = durable(valid(pts).select("id", *names), "points")
-    counts = join_near(good, good, eps).groupBy("id").agg(F.count("*").alias("n"))
-    core_ids = counts.filter(F.col("n") >= min_pts).select(F.col("id").alias("c"))
-    flagged = good.join(core_ids, F.col("id") == F.col("c"), "left").select("id", *names, F.col("c").isNotNull().alias("is_core"))
-    if min_pts <= 1:
-        flagged = good.withColumn("is_core", F.lit(True))
-    flagged = durable(flagged, "flagged")
+    good = valid(pts).select("id", *names)
+    if eps == 0:
+        spots = good.groupBy(*names).agg(F.min("id").alias("component"), F.count("*").alias("n")).filter(F.col("n") >= min_pts)
+        here = spots.select(*(F.col(c).alias(f"s_{c}") for c in names), "component")
+        return durable(good.join(here, [F.col(c) == F.col(f"s_{c}") for c in names]).select("id", F.lit(True).alias("is_core"), "component"), "members")
+    side = eps / len(names) ** 0.5 * (1 - SLACK)
+    grid = [f"f{k}" for k in range(len(names))]
+    # beyond the range in which cells are sure, every point is a cell of its own
+    far = reduce(lambda s, t: s | t, (F.abs(F.col(c) / F.lit(side)) >= FAR for c in names))
+    keyed = good.select("*", *(cell(F.col(c), side).alias(f) for c, f in zip(names, grid)), F.when(far, F.col("id")).alias("lone"))
+    sizes = keyed.groupBy(*grid, "lone").agg(F.min("id").alias("hub"), F.count("*").alias("n"))
+    there = sizes.select("hub", "n", *(F.col(c).alias(f"s_{c}") for c in [*grid, "lone"]))
+    celled = durable(keyed.join(there, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*grid, "lone"]]).select("id", *names, *grid, "hub", (F.col("n") >= min_pts).alias("dense")), "celled")
+    few = celled.filter("not dense").select("id", *names)
+    counts = join_near(few, celled.select("id", *names), eps).groupBy(F.col("id").alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_pts)
+    flagged = durable(celled.join(counts, F.col("id") == F.col("c"), "left").select("id", *names, *grid, "hub", (F.col("dense") | F.col("c").isNotNull()).alias("is_core")), "flagged")
     core = flagged.filter("is_core")
-    if eps > 0:
-        fine = F.struct(*(cell(F.col(c), eps / len(names) ** 0.5 * (1 - 1e-9)).alias(c) for c in names))
-    else:
-        fine = F.struct(*names)
-    wide = core.select("id", *names, fine.alias("fine"))
-    hubs = wide.groupBy("fine").agg(F.min("id").alias("hub"))
-    core = durable(wide.join(hubs, "fine").select("id", "hub", *names), "core")
-    reach = join_near(core, flagged.select("id", "is_core", *names).join(core.select(F.col("id").alias("h_id"), "hub"), F.col("id") == F.col("h_id"), "left").drop("h_id"), eps)
-    # one pass over the pairs: hub links of core pairs, lowest core neighbour of border points
-    links = reach.filter("(n_is_core and hub < n_hub) or not n_is_core").select(F.when(F.col("n_is_core"), F.col("n_hub")).otherwise(F.col("n_id")).alias("to"), F.when(F.col("n_is_core"), F.col("hub")).alias("hub"), F.when(~F.col("n_is_core"), F.col("id")).alias("src"))
-    seen = durable(links.groupBy("to", "hub").agg(F.min("src").alias("src")), "links")
-    comps = connected_components(seen.filter("hub is not null").select("to", "hub"))
-    of_hub = comps.select(F.col("node"), F.col("component"))
-    cores = core.join(of_hub, F.col("hub") == F.col("node"), "left").select("id", F.lit(True).alias("is_core"), F.coalesce("component", "hub").alias("component"))
-    cores = durable(cores, "cores")
-    border = seen.filter("hub is null").join(cores.select(F.col("id").alias("c"), "component"), F.col("src") == F.col("c")).select(F.col("to").alias("id"), F.lit(False).alias("is_core"), "component")
+    comps = _cell_components(core, names, grid, eps)
+    cores = core.join(comps, F.col("hub") == F.col("node"), "left").select("id", F.lit(True).alias("is_core"), F.coalesce("component", "hub").alias("component"))
+    lowest = join_near(flagged.filter("not is_core").select("id", *names), core.select("id", "hub", *names), eps).groupBy("id").agg(F.min(F.struct("n_id", "n_hub")).alias("low"))
+    border = lowest.join(comps, F.col("low.n_hub") == F.col("node"), "left").select("id", F.lit(False).alias("is_core"), F.coalesce("component", "low.n_hub").alias("component"))
     return durable(cores.union(border), "members")
 
 
+def _cell_components(core: DataFrame, names: list[str], grid: list[str], eps: float) -> DataFrame:
+    """(node, component) of the fine cells, named by ``hub``, that are linked to another by two core points."""
+    d = len(names)
+    # the outermost points of a cell on each axis
+    tips = [f"{tag}_{c}" for c in names for tag in ("min", "max")]
+    outer = [F.expr(f"{t[:3]}(struct({', '.join([t[4:], *(c for c in names if c != t[4:])])})) AS {t}") for t in tips]
+    cells = core.groupBy("hub", *grid).agg(*outer)
+    # cells within two steps on every axis may be linked; half of the steps name every pair once
+    steps = [s for s in product((-2, -1, 0, 1, 2), repeat=d) if s >= (0,) * d]
+    moves = [", ".join([*(f"{f} + {k}L AS {f}" for f, k in zip(grid, s)), f"{any(s)} AS moved"]) for s in steps]
+    around = F.expr(f"array({', '.join(f'struct({m})' for m in moves)})")
+    other = cells.select(*(F.col(c).alias(f"n_{c}") for c in cells.columns))
+    on = F.expr(" AND ".join([*(f"at.{f} = n_{f}" for f in grid), "(at.moved OR hub < n_hub)"]))
+    gaps = [f"pow(greatest(n_min_{c}.{c} - max_{c}.{c}, min_{c}.{c} - n_max_{c}.{c}, 0D), 2)" for c in names]
+    # a hair wider, as this only rules pairs out
+    close = F.expr(" + ".join(gaps)) <= F.lit(eps * eps * (1 + SLACK))
+    squares = [" + ".join(f"({a}.{c} - n_{b}.{c}) * ({a}.{c} - n_{b}.{c})" for c in names) for a in tips for b in tips]
+    linked = F.expr(f"least({', '.join(squares)})") <= F.lit(eps * eps)
+    edges = [F.expr(f"{n}{t}.{t[4:]} AS {n}{t}") for n in ("", "n_") for t in tips]
+    pairs = durable(cells.withColumn("at", F.explode(around)).join(other, on).filter(close).select("hub", "n_hub", linked.alias("linked"), *edges), "pairs")
+    first = durable(connected_components(pairs.filter("linked").select("hub", "n_hub")), "components")
+    left, right = (first.select(F.col("node").alias(f"{n}node"), F.col("component").alias(f"{n}to")) for n in ("a_", "b_"))
+    open_ = pairs.filter("not linked").join(left, F.col("hub") == F.col("a_node"), "left").join(right, F.col("n_hub") == F.col("b_node"), "left")
+    open_ = open_.select("*", F.coalesce("a_to", "hub").alias("a"), F.coalesce("b_to", "n_hub").alias("b")).filter("a <> b")
+    reach = F.lit(eps * (1 + SLACK))
+    mine = core.select(F.col("hub").alias("p_hub"), *(F.col(c).alias(f"p_{c}") for c in names))
+    theirs = core.select(F.col("hub").alias("q_hub"), *(F.col(c).alias(f"q_{c}") for c in names))
+    facing = lambda p, n: in_box([F.col(f"{p}_{c}") for c in names], [F.col(f"{n}min_{c}") - reach for c in names], [F.col(f"{n}max_{c}") + reach for c in names])
+    from_here = open_.join(mine, (F.col("hub") == F.col("p_hub")) & facing("p", "n_"))
+    near = within([F.col(f"p_{c}") for c in names], [F.col(f"q_{c}") for c in names], eps)
+    more = durable(from_here.join(theirs, (F.col("n_hub") == F.col("q_hub")) & facing("q", "") & near).select("a", "b").distinct(), "more")
+    if more.isEmpty():
+        return first
+    second = connected_components(more).select(F.col("node").alias("s"), F.col("component").alias("final"))
+    # cells that only the second round linked are nodes of their own there
+    named = first.union(more.select("a", "a").union(more.select("b", "b")).distinct().join(first, F.col("a") == F.col("node"), "left_anti"))
+    return durable(named.join(second, F.col("component") == F.col("s"), "left").select("node", F.coalesce("final", "component").alias("component")), "components")
+
+
 def _many(pts: DataFrame, eps: float, min_pts: int) -> DataFrame:
     edges = durable(eps_neighbors(pts, eps), "edges")
     counts = edges.groupBy("src").agg(F.count("*").alias("n"))

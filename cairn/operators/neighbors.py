@@ -20,9 +20,10 @@ from cairn.plans.durable import scan_parts
 
 #: Points in a block of the many-dimensional join.
 BLOCK = 1024
-#: Wider than eps by so much that rounding in x / width cannot part neighbours by two cells.
-SLACK = 1e-9
-_FAR = float(1 << 52)
+#: Cells are wider than eps by so much that rounding in x / width cannot part neighbours by two cells.
+SLACK = 1e-3
+#: Coordinates of so many cells and more share the outermost cell; below, x / width is off by far less than SLACK.
+FAR = float(1 << 40)
 
 
 def valid(pts: DataFrame) -> DataFrame:
@@ -37,8 +38,8 @@ def valid(pts: DataFrame) -> DataFrame:
 
 
 def cell(x: Column, width: float) -> Column:
-    """Grid cell; coordinates beyond the range of exact integers share the outermost cells."""
-    return F.floor(F.least(F.greatest(x / F.lit(width), F.lit(-_FAR)), F.lit(_FAR)))
+    """Grid cell; coordinates beyond ``FAR`` cells share the outermost ones."""
+    return F.floor(F.least(F.greatest(x / F.lit(width), F.lit(-FAR)), F.lit(FAR)))
 
 
 def join_near(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
