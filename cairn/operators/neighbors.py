@@ -53,13 +53,13 @@ def join_near(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
             on = on & (F.col(c) == F.col(f"n_{c}"))
         return left.join(other, on)
     width = eps * (1 + SLACK)
-    around = F.array(*(F.struct(*((cell(F.col(c), width) + F.lit(d)).alias(f"g{k}") for k, (c, d) in enumerate(zip(names, step)))) for step in product((-1, 0, 1), repeat=len(names))))
-    here = left.withColumn("g", F.explode(around))
-    there = other.select("*", *(cell(F.col(f"n_{c}"), width).alias(f"n_g{k}") for k, c in enumerate(names)))
-    on = near
-    for k in range(len(names)):
-        on = on & (F.col(f"g.g{k}") == F.col(f"n_g{k}"))
-    return here.join(there, on).drop("g", *(f"n_g{k}" for k in range(len(names))))
+    grid = [f"g{k}" for k in range(len(names))]
+    steps = (", ".join(f"{g} + {d}L AS {g}" for g, d in zip(grid, step)) for step in product((-1, 0, 1), repeat=len(names)))
+    around = F.expr(f"array({', '.join(f'struct({s})' for s in steps)})")
+    here = left.select("*", *(cell(F.col(c), width).alias(g) for c, g in zip(names, grid))).select(*left.columns, F.explode(around).alias("g"))
+    there = other.select("*", *(cell(F.col(f"n_{c}"), width).alias(f"n_{g}") for c, g in zip(names, grid)))
+    on = near & F.expr(" AND ".join(f"g.{g} = n_{g}" for g in grid))
+    return here.join(there, on).drop("g", *(f"n_{g}" for g in grid))
 
 
 def eps_neighbors(pts: DataFrame, eps: float) -> DataFrame:
