@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm import chat, sharding
 from cairn.llm.audio import op1_audio_features
 from cairn.llm.bpe import op5_bpe_codec
 from cairn.llm.chat import op9_chat_format
@@ -24,5 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: hashes (XXH64, SHA of sampled formats), media, tokenizers and models are beyond SQL; tests/llm has brute force."""
-    return {}
+    """Sharding and chat formatting; the others rest on XXH64, media, tokenizers or models, and tests/llm has brute force."""
+    return {"op7_sharding": sharding.SQL, "op9_chat_format": chat.SQL}

@@ -6,9 +6,11 @@ of its racks', which again are exponential with the sums of the weights as rates
 the rack, then the shard of least draw. A change of a weight alters the draws of one leaf and of the nodes above it, so
 rows move only into or out of that subtree; one more shard takes rows only into itself. Law: ``key``.
 
-``slot`` numbers the rows of a shard from 0 without gaps. Rows of a shard are dealt by hash to as many buckets as the
-input has read tasks; a row's slot is its place in the bucket plus the sizes of the buckets before, so no task ever
-holds a whole shard.
+``slot`` numbers the rows of a shard from 0 without gaps, in the order of a hash. The hash's range is cut into as many
+buckets as the input has read tasks; a row's slot is its place in the bucket plus the sizes of the buckets before, so no
+task ever holds a whole shard, and slots do not depend on the number of buckets.
+
+Hashes are the first 52 bits of MD5 of a text, which SQL has too: ``SQL`` is the registered query.
 
 Edge cases: a null text has size 1 and the crc of the empty text; a null ``doc_id`` is a key like any other; repeated
 rows share a shard and get slots of their own; an empty table gives an empty table; other columns are not read.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from cairn.llm import base
 
 LAW = "key"
+#: Hexadecimal digits of a hash that are used, and the number of their values.
+DIGITS, SPAN = 13, float(1 << 52)
 
 
 @dataclass(frozen=True)
@@ -41,10 +45,16 @@ def tree(n_shards: int, fanout: int = 4) -> list[Leaf]:
     return [Leaf(s, s // (fanout * racks), s // fanout) for s in range(n_shards)]
 
 
+def _hash(text: Column) -> tuple[Column, Column]:
+    """The first digits of the MD5 of a text, and their value as a double (exact)."""
+    digits = F.substring(F.md5(F.encode(text, "UTF-8")), 1, DIGITS)
+    return digits, F.conv(digits, 16, 10).cast("double")
+
+
 def draw(key: Column, leaf: Leaf) -> Column:
-    """Exponential draw of a leaf for a key, from 53 bits of a hash of both."""
-    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard)), 11)
-    return -F.log((h.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(leaf.weight)
+    """Exponential draw of a leaf for a key, from 52 bits of a hash of both."""
+    _, h = _hash(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"/{leaf.shard}")))
+    return -F.log((h + F.lit(0.5)) / F.lit(SPAN)) / F.lit(leaf.weight)
 
 
 def _least(draws: list[Column]) -> Column:
@@ -82,16 +92,48 @@ def assign(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None)
 
 def number(rows: DataFrame, buckets: int) -> DataFrame:
     """``rows`` with ``slot``: gapless from 0 within a shard."""
-    spread = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
+    digits, h = _hash(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
+    spread = rows.select("*", digits.alias("digits"), F.floor(h / F.lit(SPAN) * F.lit(buckets)).alias("bucket"))
     sizes = spread.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    place = Window.partitionBy("shard", "bucket").orderBy("digits", "doc_id", "text_crc32", "size")
     placed = spread.withColumn("place", F.row_number().over(place) - 1)
-    return placed.join(bases, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("slot", F.col("before") + F.col("place")).drop("s", "b", "bucket", "before", "place")
+    return placed.join(bases, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("slot", F.col("before") + F.col("place")).drop("s", "b", "digits", "bucket", "before", "place")
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = base.durable(assign(docs, tree(16), tree(17)), "shards")
     return number(rows, base.scan_parts(docs)).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+#: The query in DuckDB's SQL. CRC-32 by chunks of 512 bytes, the shorter one first: ``far`` has what 512 zero bytes make
+#: of each byte of a state. With equal weights the least draw is that of the greatest hash.
+SQL = """
+WITH tab AS (
+  SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), far AS (
+  SELECT list(list_reduce(list_prepend(i << (8 * b), range(512)), lambda a, x: xor(a >> 8, t[(a & 255) + 1])) ORDER BY b, i) AS m
+  FROM range(4) x(b), range(256) y(i), tab
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), chunks AS (
+  SELECT r, c, CASE WHEN c = 0 THEN 0 ELSE n % 512 + 512 * (c - 1) END AS head, CASE WHEN c = 0 THEN n % 512 ELSE 512 END AS len
+  FROM (SELECT r, n, unnest(range(n // 512 + 1)) AS c FROM docs)
+), states AS (
+  SELECT r, c, list_reduce(list_prepend(CASE WHEN c = 0 THEN 4294967295 ELSE 0 END, list_transform(range(len), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])) AS state
+  FROM (SELECT chunks.*, substr(hex(encode(text)), 2 * head + 1, 2 * len) AS h FROM chunks JOIN docs USING (r)), tab
+), sums AS (
+  SELECT r, xor(list_reduce(list(state ORDER BY c), lambda a, x: xor(x, xor(xor(m[(a & 255) + 1], m[((a >> 8) & 255) + 257]), xor(m[((a >> 16) & 255) + 513], m[(a >> 24) + 769])))), 4294967295)::BIGINT AS text_crc32
+  FROM states, (SELECT any_value(m) AS m FROM far) GROUP BY r, m
+), draws AS (
+  SELECT r, s, substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || s), 1, 13) AS d FROM docs, range(17) x(s)
+), placed AS (
+  SELECT r, arg_max(s, d) FILTER (WHERE s < 16)::INTEGER AS shard, arg_max(s, d)::INTEGER AS grown_shard FROM draws GROUP BY r
+)
+SELECT doc_id, (n + 1)::BIGINT AS size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || text_crc32 || '/' || (n + 1)), 1, 13), doc_id, text_crc32, n) - 1 AS slot, grown_shard
+FROM docs JOIN sums USING (r) JOIN placed USING (r)
+"""
