@@ -14,12 +14,16 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.geometry import in_box, within
+from cairn.functions.geometry import finite, in_box, within
 from cairn.operators.components import connected_components
 from cairn.operators.neighbors import FAR, SLACK, cell, eps_neighbors, join_near, valid
 from cairn.operators.points import axes, check
+from cairn.operators.small import in_one_task
 from cairn.plans.durable import durable
 
+#: Points that one task may cluster alone (see :mod:`cairn.operators.small`).
+SMALL_POINTS = 1 << 17
+
 
 @dataclass(frozen=True)
 class DbscanParams:
@@ -34,10 +38,16 @@ def dense_relabel(members: DataFrame, label: str = "component") -> DataFrame:
     return members.join(ranks, F.col(label) == F.col("l")).select("id", "label")
 
 
-def dbscan(pts: DataFrame, eps: float, min_pts: int = 5) -> DataFrame:
+def dbscan(pts: DataFrame, eps: float, min_pts: int = 5, small: int = SMALL_POINTS) -> DataFrame:
     """(id, label, is_core) of every point. Points with a coordinate that is not finite are noise (core by themselves
-    where ``min_pts`` is zero or less, as they have no neighbours)."""
+    where ``min_pts`` is zero or less, as they have no neighbours).
+
+    In few dimensions one task clusters the points once a count shows at most ``small`` of them, within the range in which
+    cells are sure. The result is the same either way."""
     check(pts, eps)
+    if axes(pts) and _fits(pts, eps, small):
+        lean = pts.select("id", *axes(pts)).repartition(1)
+        return lean.mapInArrow(in_one_task(eps, min_pts, SLACK, len(axes(pts))), "id long, label long, is_core boolean")
     members = _few(pts, eps, min_pts) if axes(pts) else _many(pts, eps, min_pts)
     if min_pts <= 0:
         alone = pts.select("id").join(members.select(F.col("id").alias("m")), F.col("id") == F.col("m"), "left_anti")
@@ -48,6 +58,18 @@ def dbscan(pts: DataFrame, eps: float, min_pts: int = 5) -> DataFrame:
     return pts.select("id").join(found, F.col("id") == F.col("m"), "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
+def _side(eps: float, d: int) -> float:
+    """Side of a fine cell: its points are neighbours."""
+    return eps / d**0.5 * (1 - SLACK)
+
+
+def _fits(pts: DataFrame, eps: float, small: int) -> bool:
+    names = axes(pts)
+    far = F.greatest(F.lit(0.0), *(F.max(F.when(finite(F.col(c)), F.abs(c))) for c in names))
+    size = pts.agg(F.count("*").alias("n"), far.alias("far")).first()
+    return size.n <= small and (eps == 0 or size.far < _side(eps, len(names)) * FAR)
+
+
 def _few(pts: DataFrame, eps: float, min_pts: int) -> DataFrame:
     """(id, is_core, component) of clustered points, by fine cells of side eps / sqrt(d).
 
@@ -62,7 +84,7 @@ def _few(pts: DataFrame, eps: float, min_pts: int) -> DataFrame:
         spots = good.groupBy(*names).agg(F.min("id").alias("component"), F.count("*").alias("n")).filter(F.col("n") >= min_pts)
         here = spots.select(*(F.col(c).alias(f"s_{c}") for c in names), "component")
         return durable(good.join(here, [F.col(c) == F.col(f"s_{c}") for c in names]).select("id", F.lit(True).alias("is_core"), "component"), "members")
-    side = eps / len(names) ** 0.5 * (1 - SLACK)
+    side = _side(eps, len(names))
     grid = [f"f{k}" for k in range(len(names))]
     # beyond the range in which cells are sure, every point is a cell of its own
     far = reduce(lambda s, t: s | t, (F.abs(F.col(c) / F.lit(side)) >= FAR for c in names))
