@@ -10,8 +10,9 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.plans.durable import drop_durable, durable, scan_parts, shared_dir  # noqa: F401
 
@@ -56,6 +57,30 @@ def _text_steps(batches, most: int):
             start = stop
 
 
+def heads_of(docs: DataFrame, found: DataFrame, key_of, kind: T.DataType) -> DataFrame:
+    """Of each ``label`` of found (doc_id, key, component_id, label) one row of ``docs``: that of doc_id component_id.
+
+    ``key_of`` gives the keys of a column of texts. Among several rows that whose text has the smallest hash stays.
+    """
+    heads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    odd = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(heads).alias("head")).filter("head and (n > 1 or doc_id is null)")
+    kept = found.filter(heads)
+    if odd.isEmpty():
+        return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    # ids do not tell rows apart: deal the rows of smallest doc_id by label
+    names = docs.columns
+
+    def run(batches):
+        for batch in text_steps(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, key_of(batch.column("text"))], [*names, "__key"])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", kind)]))
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("label").alias("__label")).distinct()
+    near = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
+    first = Window.partitionBy("__label").orderBy(F.xxhash64("text"))
+    return near.withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*(F.col(f"`{c}`") for c in names))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column in one array, and the n + 1 offsets of its rows."""
     kind = column.type
