@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,22 +210,11 @@ def one_of_each(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     """
     prints = base.durable(fingerprints(docs, shingle), "simhash")
     found = base.durable(prints.join(labels(prints, bits), "fp").select("doc_id", "fp", "component_id", "label"), "components")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if kept.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").isEmpty() and kept.filter("doc_id is null").isEmpty():
-        return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
-    # ids do not tell rows apart: deal the rows of smallest doc_id by component
-    names = docs.columns
 
-    def run(batches):
-        for batch in base.text_steps(batches):
-            fp = fingerprints_of(*base.flat(batch.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*names, "__fp"])
+    def prints_of(column: pa.Array) -> pa.Array:
+        return pa.array(fingerprints_of(*base.flat(column), shingle).view(np.int64))
 
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    heads = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__f"), F.col("label").alias("__label")).distinct()
-    near = rows.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")))
-    first = Window.partitionBy("__label").orderBy(F.xxhash64("text"))
-    return near.withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*(F.col(f"`{c}`") for c in names))
+    return base.heads_of(docs, found.withColumnRenamed("fp", "key"), prints_of, T.LongType())
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
