@@ -28,6 +28,15 @@ def columns(df: DataFrame, *names: str, text: str | None = None) -> DataFrame:
     return df.select(*out)
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by place (c0, c1, ...), and each column's new name.
+
+    Helper columns of other names then clash with none of ``df``'s, whatever they are called; ``toDF`` gives names back.
+    """
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def text_steps(batches, most: int = STEP_BYTES):
     """Slices of Arrow batches whose ``text`` column holds at most ``most`` bytes (or one row)."""
     try:

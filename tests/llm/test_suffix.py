@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from cairn.llm import suffix
+from cairn.llm import base, suffix
 
 
 def slow(texts, length=100):
@@ -68,12 +68,12 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_window_classes():
     rng = random.Random(4)
-    base = bytes(rng.choice(b"ab") for _ in range(400))
+    line = bytes(rng.choice(b"ab") for _ in range(400))
     texts, offsets, counts = [], [], []
     for _ in range(50):
         a = rng.randrange(0, 200)
         n = rng.randrange(1, 60)
-        texts.append(base[a : a + n + 99])
+        texts.append(line[a : a + n + 99])
         counts.append(n)
         offsets.append((200 - a) % 3 + 3 * rng.randrange(5))
     seg, number, cls = suffix.window_classes(texts, np.array(offsets), np.array(counts))
@@ -82,3 +82,55 @@ def test_window_classes():
         by.setdefault(c, set()).add(texts[s][k : k + 100])
     assert all(len(w) == 1 for w in by.values())
     assert len(by) == len({texts[s][k : k + 100] for s, k in zip(seg, number)})
+
+
+#: Added to the bytes of a text, this leaves a polynomial hash in ``base`` modulo 2^64 as it is (a short lattice vector).
+UNSEEN = [5, 1, 4, -2, -1, 1, -1, -3, 2, 0, 0, -2, 1, 6, 3, -5, -2, 1, -1, 1]
+
+
+def test_equal_quick_hashes_are_no_repeat(spark):
+    """Two different texts of 100 bytes with the same anchor, whose quick hashes are the same."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        one = rng.integers(ord("h"), ord("t"), 100).astype(np.uint8)
+        two = one.copy()
+        two[:20] += np.array(UNSEEN).astype(np.uint8)
+        (h,), _, _, _, _ = suffix.segments(one, np.array([0, 100]))
+        (g,), _, _, _, _ = suffix.segments(two, np.array([0, 100]))
+        if h == g:
+            break
+    edge = np.array([0]), np.array([100])
+    assert h == g and (one != two).any() and base.span_hashes(one, *edge) == base.span_hashes(two, *edge)
+    texts = [one.tobytes().decode(), two.tobytes().decode(), two.tobytes().decode()]
+    want = [(i, *w) for i, w in enumerate(slow([t.encode() for t in texts]))]
+    assert [w[2] for w in want] == [0, 0, 100]
+    assert sorted(run(spark, [(i, t, 0, 1) for i, t in enumerate(texts)])) == want
+
+
+@pytest.mark.parametrize("length", [5, 12, 50, 110, 300])
+def test_other_lengths(spark, length):
+    texts = made(length, 40)
+    want = [(i, *w) for i, w in enumerate(slow([(t or "").encode() for t in texts], length))]
+    assert sorted(run(spark, [(i, t, 0, 1) for i, t in enumerate(texts)], length=length, most=1000)) == want
+    with pytest.raises(ValueError):
+        suffix.gram_of(4)
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "n_bytes", "spans", "kept", "key", "null", "tie", "a.b", "TEXT2", "n_chars", "__key", "c0"]
+    texts = made(7, 10)
+    rows = [(i, t, *range(i, i + 11)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names))
+    got = sorted(suffix.without_repeats(docs).collect())
+    assert suffix.without_repeats(docs).columns == names
+    cut = {r.doc_id: r.kept.decode(errors="ignore") for r in suffix.cut_repeats(docs, trim=True).collect()}
+    for row, r in zip(rows, got):
+        assert r[2:10] == row[2:10] and r[11:] == row[11:] and r[1] == (None if row[1] is None else cut[row[0]])
+
+
+def test_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(map(tuple, suffix.op10_suffix_dedup(spark, sf).collect())) == sorted(con.sql(suffix.SQL).fetchall())
