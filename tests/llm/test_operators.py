@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -41,28 +42,78 @@ def test_audio_alone_or_together():
     assert abs(np.argmax(np.abs(np.fft.rfft(y * np.hanning(len(y))))) * 16000 / len(y) - 1000) < 20
 
 
-def draw(doc, leaf):
-    h = int(hashlib.md5(f"{doc}/{leaf.shard}".encode()).hexdigest()[:13], 16)
-    return -np.log((h + 0.5) / 2.0**52) / leaf.weight
+def draw(doc, path, weight):
+    h = int(hashlib.md5(f"{doc}/{path}".encode()).hexdigest()[:13], 16)
+    return -math.log((h + 0.5) / 2.0**52) / weight
+
+
+def shard_of(doc, leaves):
+    """Down the tree by plain loops."""
+    path = ""
+    for level in range(3):
+        weight = {}
+        for leaf in leaves:
+            if (".".join(leaf.paths[level].split(".")[:level])) == path:
+                weight[leaf.paths[level]] = weight.get(leaf.paths[level], 0.0) + leaf.weight
+        path = min(weight, key=lambda p: draw(doc, p, weight[p]))
+    return int(path.split(".")[2])
 
 
 def test_sharding(spark):
     rows = spark.range(3000).selectExpr("id as doc_id", "cast(id % 7 as string) as text")
-    got = sharding.number(sharding.assign(rows, sharding.tree(16), sharding.tree(17)), 5).collect()
+    leaves = sharding.tree(16)
+    got = sharding.number(sharding.assign(rows, leaves, sharding.grow(leaves)), 5).collect()
     by = {}
     for r in got:
-        want = min(sharding.tree(16), key=lambda leaf: draw(r.doc_id, leaf)).shard
+        want = shard_of(r.doc_id, leaves)
         assert r.shard == want
-        assert r.grown_shard in (want, 16)
+        assert r.grown_shard in (want, 16) and r.grown_shard == shard_of(r.doc_id, sharding.grow(leaves))
         assert r.text_crc32 == zlib.crc32(str(r.doc_id % 7).encode())
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(by) == 16
-    other = sharding.number(sharding.assign(rows, sharding.tree(16), sharding.tree(17)), 1).collect()
+    assert all(130 < len(s) < 250 for s in by.values())
+    other = sharding.number(sharding.assign(rows, leaves, sharding.grow(leaves)), 1).collect()
     assert sorted((r.doc_id, r.slot) for r in got) == sorted((r.doc_id, r.slot) for r in other)
     assert 0.03 < sum(r.grown_shard == 16 for r in got) / 3000 < 0.09
     assert sorted(r.size for r in sharding.assign(docs(spark), sharding.tree(4)).collect()) == sorted(len((t or "").encode()) + 1 for t in TEXTS)
 
 
+@pytest.mark.parametrize("weight", [3.0, 0.2])
+def test_sharding_moves_rows_only_where_weights_change(spark, weight):
+    leaves = sharding.tree(16)
+    changed = [sharding.Leaf(x.shard, x.region, x.rack, weight if x.shard == 5 else 1.0) for x in leaves]
+    got = sharding.assign(spark.range(4000).selectExpr("id as doc_id", "'' as text"), leaves, changed).collect()
+    region, rack = ({x.shard: getattr(x, level) for x in leaves} for level in ("region", "rack"))
+    if weight < 1:  # what shrinks by this is what grows the other way round
+        moves = [(r.grown_shard, r.shard) for r in got]
+    else:
+        moves = [(r.shard, r.grown_shard) for r in got]
+    assert 50 < sum(a != b for a, b in moves) < 2000
+    for a, b in moves:
+        if region[a] != region[b]:
+            assert region[b] == region[5]
+        elif rack[a] != rack[b]:
+            assert rack[b] == rack[5]
+        elif a != b:
+            assert b == 5
+    assert all(a == b for a, b in moves if region[b] != region[5])
+
+
+def test_sharding_odd_rows(spark):
+    leaves = sharding.tree(3, 2)
+    same = [(7, "x")] * 40 + [(None, None)] * 5 + [(None, "y")]
+    table = spark.createDataFrame(same, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as slot", "3 as `a.b`")
+    got = sharding.number(sharding.assign(table, leaves), 6).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 46 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1 and {r.grown_shard for r in got} == {None}
+    assert sharding.number(sharding.assign(table.limit(0), leaves), 3).count() == 0
+    with pytest.raises(ValueError):
+        sharding.descend(sharding.F.col("doc_id"), [sharding.Leaf(0, 0, 0, 0.0)])
+
+
 def test_shares():
     assert mixing.share(100, [1, 1, 2], [10, 100, 100]) == [10, 30, 60]
     assert mixing.share(1000, [1, 1], [10, 20]) == [10, 20]
