@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import chat, sharding, suffix
+from cairn.llm import chat, mixing, sharding, suffix
 from cairn.llm.audio import op1_audio_features
 from cairn.llm.bpe import op5_bpe_codec
 from cairn.llm.chat import op9_chat_format
@@ -25,5 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Sharding and chat formatting; the others rest on XXH64, media, tokenizers or models, and tests/llm has brute force."""
-    return {"op7_sharding": sharding.SQL, "op9_chat_format": chat.SQL, "op10_suffix_dedup": suffix.SQL}
+    """For the others, which rest on XXH64, media, tokenizers or models, tests/llm has brute force."""
+    return {"op7_sharding": sharding.SQL, "op8_source_mix": mixing.SQL, "op9_chat_format": chat.SQL, "op10_suffix_dedup": suffix.SQL}

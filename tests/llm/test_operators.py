@@ -1,10 +1,10 @@
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
 import pytest
-import xxhash
 
 from cairn.llm import audio, chat, minhash, mixing, quality, sharding
 
@@ -114,12 +114,76 @@ def test_sharding_odd_rows(spark):
         sharding.descend(sharding.F.col("doc_id"), [sharding.Leaf(0, 0, 0, 0.0)])
 
 
-def test_shares():
-    assert mixing.share(100, [1, 1, 2], [10, 100, 100]) == [10, 30, 60]
-    assert mixing.share(1000, [1, 1], [10, 20]) == [10, 20]
+def share(amount, weights, room):
+    """Split ``amount`` by weight, one full child after the other."""
+    out, left, open_ = [0] * len(room), min(amount, sum(room)), [i for i in range(len(room)) if room[i] > 0 and weights[i] > 0]
+    while left > 0 and open_:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if room[i] - out[i] <= left * weights[i] / total]
+        for i in full:
+            left -= room[i]
+            out[i] = room[i]
+            open_.remove(i)
+        if full:
+            continue
+        for i in open_:
+            out[i] = int(left * weights[i] / total)
+        spare = left - sum(out[i] for i in open_)
+        for i in sorted(open_, key=lambda i: (-weights[i], i)):
+            more = min(spare, room[i] - out[i])
+            out[i] += more
+            spare -= more
+        break
+    return out
+
+
+def budgets(leaves, mix, amount):
+    """Tokens of each leaf path of ``leaves`` (path to tokens), down the tree."""
+    out = {}
+
+    def down(prefix, amount, below):
+        if len(prefix) == 3:
+            out[prefix] = amount
+            return
+        names = sorted({p[: len(prefix) + 1] for p in below})
+        under = {n: {p: t for p, t in below.items() if p[: len(n)] == n} for n in names}
+        for n, a in zip(names, share(amount, [float(mix.weights.get(n, 1.0)) for n in names], [sum(under[n].values()) * mix.max_epochs for n in names])):
+            down(n, a, under[n])
+
+    down((), amount, leaves)
+    return out
+
+
+def got_budgets(spark, leaves, spec):
+    table = spark.createDataFrame([(*p, t) for p, t in leaves.items()], "p0 string, p1 string, p2 string, tokens long")
+    return {tuple(r[:3]): r.budget for r in mixing.budgets(table, spec).select(*mixing.PATHS, "budget").collect()}
+
+
+def test_shares(spark):
+    def got(amount, weights, room):
+        rows = [("p", f"{i:03d}", r, float(w), amount) for i, (w, r) in enumerate(zip(weights, room))]
+        out = mixing.share(spark.createDataFrame(rows, "p string, name string, room long, weight double, amount long"), ["p"], "name")
+        return [r.got for r in sorted(out.collect(), key=lambda r: r.name)]
+
+    assert got(100, [1, 1, 2], [10, 100, 100]) == [10, 30, 60]
+    assert got(1000, [1, 1], [10, 20]) == [10, 20]
+    assert got(7, [1, 1, 1, 0], [5, 0, 5, 9]) == [4, 0, 3, 0] == share(7, [1, 1, 1, 0], [5, 0, 5, 9])
+    rng = random.Random(3)
+    for n in (3, 12, 40):
+        weights, room = [rng.choice([0, 1, 2, 2.5, 7]) for _ in range(n)], [rng.choice([0, 3, 50, 400, 5000]) for _ in range(n)]
+        for amount in (0, 17, sum(room) // 3, sum(room) * 2):
+            assert got(amount, weights, room) == share(amount, weights, room)
+
+
+def test_budgets(spark):
     leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("b", "y", "3"): 1000}
-    got = mixing.budgets(leaves, mixing.Mix(), 200)
-    assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 90, ("b", "y", "3"): 100}
+    spec = mixing.Mix(fraction=200 / 1110)
+    assert got_budgets(spark, leaves, spec) == {("a", "x", "1"): 10, ("a", "x", "2"): 90, ("b", "y", "3"): 100}
+    rng = random.Random(5)
+    leaves = {(f"d{i % 4}", f"l{i % 3}", f"s{i}"): rng.choice([0, 5, 80, 900]) for i in range(60)}
+    for weights, fraction, epochs in (({}, 0.5, 1), ({("d0",): 5.0, ("d0", "l1"): 3.0, ("d1", "l0", "s9"): 9.0}, 0.8, 3), ({("d2",): 0.0}, 0.9, 1)):
+        spec = mixing.Mix(weights, fraction, epochs)
+        assert got_budgets(spark, leaves, spec) == budgets(leaves, spec, int(fraction * sum(leaves.values())))
 
 
 @pytest.mark.parametrize("bucket", [1 << 14, 20])
@@ -129,20 +193,14 @@ def test_mix_takes_prefixes(spark, bucket, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int")
     spec = mixing.Mix({("d0",): 3.0}, 0.8, 2)
     got = {}
-    for r in mixing.mix(table.drop("epoch"), spec, epoch="epoch").collect():
+    for r in mixing.mix(table, spec, epoch="epoch").collect():
         got.setdefault(r.source, []).append((r.epoch, r.doc_id))
     tokens = {s: sum(i % 11 for i in range(600) if i % 2 == s) for s in (0, 1)}
-    want = mixing.budgets({(f"d{s}", "en", f"src{s}"): n for s, n in tokens.items()}, spec, int(0.8 * sum(tokens.values())))
+    want = budgets({(f"d{s}", "en", f"src{s}"): n for s, n in tokens.items()}, spec, int(0.8 * sum(tokens.values())))
     for s, n in tokens.items():
         whole, rest = divmod(want[(f"d{s}", "en", f"src{s}")], n)
-        text = lambda i: xxhash.xxh64_intdigest((" ".join(["w"] * (i % 11))).encode(), 42)
-        def key(i, e=whole):
-            h = 42
-            for v, k in ((i, 8), (spec.seed, 4), (e, 4)):
-                h = xxhash.xxh64_intdigest(v.to_bytes(k, "little"), h)
-            return h - (1 << 64) if h >> 63 else h, i, text(i)
         chosen, run = [(e, i) for e in range(whole) for i in range(600) if i % 2 == s], 0
-        for i in sorted((i for i in range(600) if i % 2 == s), key=key):
+        for i in sorted((i for i in range(600) if i % 2 == s), key=lambda i: hashlib.md5(f"{i}/{spec.seed}/{whole}".encode()).hexdigest()[:13]):
             run += i % 11
             if run > rest:
                 break
@@ -152,6 +210,30 @@ def test_mix_takes_prefixes(spark, bucket, monkeypatch):
     assert mixing.mix(docs(spark), mixing.Mix(fraction=1.0)).count() == len(TEXTS)
 
 
+def test_mix_odd_rows(spark):
+    names = ["doc_id", "text", "lang", "source", "n", "tie", "p0", "whole", "a.b", "__domain", "k"]
+    rows = [(None, "a b c", None, None), (None, "a b c", None, None), (4, None, "en", "src1"), (4, "x y", "en", "src1"), (4, "x y", "en", "src1"), (5, "", "de", "web")]
+    table = spark.createDataFrame([(*r, *range(7)) for r in rows], ", ".join(f"`{c}` {'string' if c in ('text', 'lang', 'source') else 'long'}" for c in names))
+    for fraction in (0.0, 0.4, 0.7, 1.0):
+        got = mixing.mix(table, mixing.Mix(fraction=fraction))
+        assert got.columns == names
+        counts = {}
+        for r in got.collect():
+            counts[tuple(r[:4])] = counts.get(tuple(r[:4]), 0) + 1
+            assert tuple(r[4:]) == tuple(range(7))
+        # repeated rows stay or go together
+        assert all(n == rows.count(k) for k, n in counts.items())
+        if fraction == 1.0:
+            assert sum(counts.values()) == 6
+
+
+def test_mix_many_leaves(spark):
+    """As many leaves as documents: no cap."""
+    table = spark.range(3000).selectExpr("id as doc_id", "'a' as text", "'en' as lang", "concat('host', id) as source")
+    got = mixing.mix(table, mixing.Mix(fraction=0.5)).count()
+    assert got == 1500
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", chat.TRICKY), (1, 1, "assistant", None), (None, 0, "sys:t\\em", "### x </turn>\n"), (2, 3, None, "z" * 3000), (2, 4, "assistant", "\\" * 5)]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
