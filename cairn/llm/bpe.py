@@ -3,7 +3,11 @@
 ``encode`` turns whole texts into token ids with the merges of a public vocabulary file, ``decode`` turns ids back. The
 different words of a step lie in one flat array of symbols. In each round every pair of neighbours looks up its rank by
 binary search over the sorted pair keys ``left * n + right``; each word merges all places of its lowest pair, left to
-right, and words without a known pair leave the array. No Python code runs a symbol or a pair at a time.
+right, and words without a known pair leave the array. Words of over ``LONG`` bytes, whose rounds would be many, are
+merged together by rank instead: a round takes the lowest rank of all, merges its places and looks up the pairs that
+are new, so that each symbol is touched as often as it changes. No Python code runs a symbol or a pair at a time.
+
+Words beyond the Latin letters are normalised and cut by the library, all of a step in one text; merging stays here.
 
 The files read here are of one kind: NFC, white space folded, small letters, pieces cut by a pattern that drops white
 space, byte letters, an end-of-word suffix, no decoder (tokens are joined by spaces). Others raise ``ValueError``.
@@ -14,6 +18,7 @@ texts have equal ids; a null ``doc_id`` passes through; an empty table gives an
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -26,16 +31,10 @@ from cairn.llm import base
 from cairn.llm.wordcache import WordCoder, by_pieces
 
 NEVER = np.int64(1 << 40)
-
-
-def byte_letters() -> list[str]:
-    """The letter of each byte in byte-level vocabularies: itself where it is printable, the next from 256 on elsewhere."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, spare = [], 256
-    for b in range(256):
-        out.append(chr(b if b in printable else spare))
-        spare += b not in printable
-    return out
+#: Bytes of a word beyond which it is merged by rank.
+LONG = 1024
+#: Characters that the library cuts at once.
+CUT = 1 << 16
 
 
 class Bpe:
@@ -55,8 +54,8 @@ class Bpe:
 
         # words beyond the Latin letters are cut by the library, whose Unicode version counts; merging stays here
         self.library = Tokenizer.from_file(path)
-        letters = byte_letters()
-        self.byte_of = {c: b for b, c in enumerate(letters)}
+        letters = base.byte_letters()
+        self.byte_of = {ord(c): b for b, c in enumerate(letters)}
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + suffix] for c in letters], np.int64)
         self.n = max(*vocab.values(), *self.added.values()) + 1
@@ -65,6 +64,7 @@ class Bpe:
         key = left * self.n + right
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = key[order], order.astype(np.int64), made[order]
+        self.by_rank = left, right, made
         # merging all places of a pair at once is the same as one by one if no token is used by an earlier merge than made it
         born = np.full(self.n, -1)
         np.maximum.at(born, made, np.arange(len(made)))
@@ -82,13 +82,24 @@ class Bpe:
         last = np.cumsum(size) - 1
         sym[last] = self.final[raw[last]]
         word = np.repeat(np.arange(len(words)), size)
-        done_sym, done_word = [], []
+        # merging all places of a rank at once needs the vocabulary's order
+        long = size[word] > (LONG if self.ordered else len(raw))
+        parts = [self._by_round(sym[~long], word[~long]), self._by_rank(sym[long], word[long])]
+        sym, word = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        return np.split(sym[order].astype("<u4"), np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * self.n + right
+        at = np.searchsorted(self.key, pair)
+        at[at == len(self.key)] = 0
+        return np.where(self.key[at] == pair, self.rank[at], NEVER)
+
+    def _by_round(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and their words after all merges; each round merges the lowest pair of every word."""
+        done_sym, done_word = [sym[:0]], [word[:0]]
         while len(sym):
-            pair = sym[:-1] * self.n + sym[1:]
-            at = np.searchsorted(self.key, pair)
-            at[at == len(self.key)] = 0
-            known = (self.key[at] == pair) & (word[1:] == word[:-1])
-            rank = np.append(np.where(known, self.rank[at], NEVER), NEVER)
+            rank = np.append(np.where(word[1:] == word[:-1], self._ranks(sym[:-1], sym[1:]), NEVER), NEVER)
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             low = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(sym))))
             over = low == NEVER
@@ -100,37 +111,131 @@ class Bpe:
             if not self.ordered:
                 spots = spots[np.append(True, word[spots[1:]] != word[spots[:-1]])] if len(spots) else spots
             elif len(spots):
-                # of neighbouring places (a run of one symbol) every other one, from the left
-                run = np.append(True, np.diff(spots) != 1)
-                start = np.maximum.accumulate(np.where(run, np.arange(len(spots)), 0))
-                spots = spots[(np.arange(len(spots)) - start) % 2 == 0]
-            sym[spots] = self.made[at[spots]]
+                spots = spots[_alternate(np.diff(spots) == 1)]
+            sym[spots] = self.by_rank[2][rank[spots]]
             keep = ~over
             keep[spots + 1] = False
             sym, word = sym[keep], word[keep]
-        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
-        return np.split(sym[order].astype("<u4"), np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        return np.concatenate(done_sym), np.concatenate(done_word)
+
+    def _by_rank(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same; each round merges all places of the lowest pair of all words, which are a linked list."""
+        n = len(sym)
+        left, right, made = self.by_rank
+        # place n stands behind the end: in no word, never merged
+        sym, word, live = np.append(sym, -1), np.append(word, -1), np.append(np.ones(n, bool), False)
+        after, before = np.minimum(np.arange(n + 1) + 1, n), np.arange(n + 1) - 1
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(spots: np.ndarray) -> None:
+            ends = after[spots]
+            spots, ends = (x[word[spots] == word[ends]] for x in (spots, ends))
+            rank = self._ranks(sym[spots], sym[ends])
+            known = rank < NEVER
+            spots, rank = spots[known], rank[known]
+            order = np.argsort(rank, kind="stable")
+            spots, rank = spots[order], rank[order]
+            heads = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else []
+            for r, group in zip(rank[heads].tolist(), np.split(spots, heads[1:])) if len(rank) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(group)
+
+        look(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            spots = np.unique(np.concatenate(waiting.pop(r)))
+            ends = after[spots]
+            spots = spots[live[spots] & (sym[spots] == left[r]) & (sym[ends] == right[r]) & (word[spots] == word[ends])]
+            if not len(spots):
+                continue
+            spots = spots[_alternate(after[spots[:-1]] == spots[1:])]
+            gone = after[spots]
+            sym[spots] = made[r]
+            live[gone] = False
+            after[spots] = after[gone]
+            before[after[gone]] = spots
+            ahead = before[spots]
+            look(np.unique(np.concatenate([spots, ahead[ahead >= 0]])))
+        return sym[live], word[live]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         return [x.tobytes() for x in self.merge([p.encode() for p in pieces])]
 
+    def cut(self, text: str) -> tuple[str, list[bytes], np.ndarray]:
+        """The normal form of a text without special tokens, its pieces and where they start in it."""
+        normal = self.library.normalizer.normalize_str(text)
+        found = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return normal, [p.translate(self.byte_of).encode("latin-1") for p, _ in found], np.array([a for _, (a, _) in found], np.int64)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of any script, special tokens included; the pieces of all are merged together."""
+        owner, pieces, fixed = [], [], []  # a piece, or the id of a special token
+
+        def alone(i: int) -> None:
+            at = 0
+            for m in [*self.special.finditer(words[i]), None]:
+                part = words[i][at : m.start() if m else len(words[i])]
+                found = self.cut(part)[1] if part else []
+                pieces.extend(found)
+                owner.append(np.full(len(found), i))
+                fixed.append(np.full(len(found), -1))
+                if m:
+                    pieces.append(b"")
+                    owner.append(np.array([i]))
+                    fixed.append(np.array([self.added[m.group()]]))
+                    at = m.end()
+
+        def together(run: list[int]) -> None:
+            normal, found, starts = self.cut(" ".join([words[i] for i in run]))
+            spaces = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), "<u4") == 32)
+            if len(spaces) != len(run) - 1:
+                for i in run:
+                    alone(i)
+                return
+            pieces.extend(found)
+            owner.append(np.array(run)[np.searchsorted(spaces, starts)])
+            fixed.append(np.full(len(found), -1))
+
+        run, size = [], 0
+        for i, w in enumerate(words):
+            if self.special.search(w) or w.split() != [w]:
+                alone(i)
+                continue
+            run.append(i)
+            size += len(w)
+            if size > CUT:
+                together(run)
+                run, size = [], 0
+        if run:
+            together(run)
+        if not pieces:
+            return [b""] * len(words)
+        owner, fixed = np.concatenate(owner), np.concatenate(fixed)
+        merged = iter(self.merge([p for p in pieces if p]))
+        coded = [next(merged) if p else np.array([f], "<u4") for p, f in zip(pieces, fixed.tolist())]
+        order = np.argsort(owner, kind="stable")
+        flat = np.concatenate([coded[k] for k in order.tolist()]).astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(owner, np.fromiter(map(len, coded), np.int64, len(coded)), len(words))).astype(np.int64) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
     def encode_text(self, text: str) -> bytes:
         """Ids of any text, special tokens and other scripts included."""
-        out, at = [], 0
-        for m in [*self.special.finditer(text), None]:
-            part = text[at : m.start() if m else len(text)]
-            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)) if part else []
-            out += [x.tobytes() for x in self.merge([bytes(map(self.byte_of.__getitem__, p)) for p, _ in cut])]
-            if m:
-                out.append(self.added[m.group()].to_bytes(4, "little"))
-                at = m.end()
-        return b"".join(out)
+        return self.encode_words([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
 
 
+def _alternate(touch: np.ndarray) -> np.ndarray:
+    """Of places in order the first, third, ... of each run; ``touch`` says which go on the run before them."""
+    head = np.append(True, ~touch)
+    index = np.arange(len(head))
+    return (index - np.maximum.accumulate(np.where(head, index, 0))) % 2 == 0
+
+
 _CODERS: dict[str, tuple[Bpe, WordCoder]] = {}
 
 
@@ -139,7 +244,7 @@ def coder(vocab: str) -> tuple[Bpe, WordCoder]:
     if vocab not in _CODERS:
         bpe = Bpe(vocab)
         # a worker lives on between tasks and stages, so what it keeps is small
-        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_text, 50_000), most=150_000)
+        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_words, 50_000), most=150_000)
     return _CODERS[vocab]
 
 

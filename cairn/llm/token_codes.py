@@ -110,17 +110,10 @@ class Shard:
 _CACHES: dict = {}
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 def is_word_level(tok) -> bool:
     """Whether the library gives a few telling words the same ids by the short way as by the whole one."""
     for w in ("Hello,World's", "it'll!!", "ab12cd", "\u00c9t\u00e9\u00bd\u00df", "o'REILLY_x", "%$#'s't"):
-        short = [t.id for p in plain_pieces(w) for t in tok.model.tokenize(p.encode().decode("latin-1").translate(byte_letters()))]
+        short = [t.id for p in plain_pieces(w) for t in tok.model.tokenize(p.encode().decode("latin-1").translate(dict(enumerate(base.byte_letters()))))]
         if short != tok.encode(w, add_special_tokens=False).ids:
             return False
     return tok.encode("a b", add_special_tokens=False).ids == tok.encode("a", add_special_tokens=False).ids + tok.encode("b", add_special_tokens=False).ids
@@ -138,10 +131,10 @@ def library_cache(vocab: str) -> WordCoder:
         tok.no_truncation()
         tok.no_padding()
 
-        model, letter = tok.model, byte_letters()
+        model, letter = tok.model, dict(enumerate(base.byte_letters()))
 
-        def general(word: str) -> bytes:
-            return np.array(tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        def general(words: list[str]) -> list[bytes]:
+            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(words, add_special_tokens=False)]
 
         def pieces(new: list[str]) -> list[bytes]:
             out = []
@@ -151,7 +144,7 @@ def library_cache(vocab: str) -> WordCoder:
             return out
 
         # pieces can go straight to the library's model where what comes before it is the normal form and byte letters
-        _CACHES[vocab] = WordCoder(by_pieces(pieces, general)) if is_word_level(tok) else WordCoder(lambda words: [general(w) for w in words], cut=False)
+        _CACHES[vocab] = WordCoder(by_pieces(pieces, general)) if is_word_level(tok) else WordCoder(general, cut=False)
     return _CACHES[vocab]
 
 

@@ -136,7 +136,7 @@ class WordCoder:
         return ids, edge[first]
 
 
-def by_pieces(encode_pieces: Callable[[list[str]], list[bytes]], encode_word: Callable[[str], bytes], most: int = 200_000) -> Callable[[list[str]], list[bytes]]:
+def by_pieces(encode_pieces: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 200_000) -> Callable[[list[str]], list[bytes]]:
     """An encoder of words from one of pieces (for plain words; kept) and a general one for the others."""
     known: dict[str, bytes] = {}
 
@@ -146,6 +146,7 @@ def by_pieces(encode_pieces: Callable[[list[str]], list[bytes]], encode_word: Ca
         split = [plain_pieces(w) for w in words]
         fresh = list({p for pieces in split if pieces for p in pieces if p not in known})
         known.update(zip(fresh, encode_pieces(fresh)))
-        return [encode_word(w) if p is None else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for w, p in zip(words, split)]
+        others = iter(encode_words([w for w, p in zip(words, split) if p is None]))
+        return [next(others) if p is None else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split]
 
     return encode

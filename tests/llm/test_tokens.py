@@ -74,3 +74,31 @@ def test_bpe_round_trip(spark, library):
         assert got[i].text == library.decode(ids, skip_special_tokens=False)
     assert sorted(bpe.round_trip(rows(spark, texts), VOCAB).collect()) == sorted(got.values())
     assert bpe.encode(rows(spark, []), VOCAB).count() == 0
+
+
+SCRIPTS = ["abcdefghij", "абвгдежз", "你好世界", "กำมรั", "!?.-", "a", "éèüß", "éä", "xyz؀ "]
+
+
+@pytest.mark.parametrize("long", [0, 6, 1 << 20])
+def test_long_words_of_any_script(library, monkeypatch, long):
+    """Merged by rank or by round, with words of many scripts in one call."""
+    monkeypatch.setattr(bpe, "LONG", long)
+    rng = np.random.default_rng(long)
+    words = ["".join(rng.choice(list(s), n)) for s in SCRIPTS for n in (1, 2, 3, 7, 40, 600)] + ["<|endoftext|>", "a<|endoftext|><|startoftext|>б", "the" * 300, "a" * 2001]
+    words = [w for w in words if w]
+    got = bpe.coder(VOCAB)[0].encode_words(words)
+    for w, b in zip(words, got):
+        assert np.frombuffer(b, "<u4").tolist() == library.encode(w, add_special_tokens=False).ids, w
+    assert bpe.coder(VOCAB)[0].encode_words([]) == []
+
+
+def test_bpe_odd_rows(spark, library):
+    texts = [None, "", "same", "same", "при́вет " * 50, "w" * 40_000]
+    table = spark.createDataFrame([(None if i < 2 else 7, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, ids int, `a.b` int")
+    got = sorted((r.doc_id or -1, r.text, np.frombuffer(r.ids, "<u4").tolist()) for r in bpe.round_trip(table, VOCAB).collect())
+    want = []
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((-1 if i < 2 else 7, library.decode(ids, skip_special_tokens=False), ids))
+    assert got == sorted(want)
+    assert bpe.round_trip(table.limit(0), VOCAB).count() == 0
