@@ -6,6 +6,7 @@ Nothing outside :mod:`cairn.llm` imports this module.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -64,16 +65,49 @@ def trim() -> None:
         pass
 
 
+def _steps(sizes: np.ndarray, most: int):
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield start, stop
+        start = stop
+
+
 def _text_steps(batches, most: int):
     for batch in batches:
         sizes = pc.binary_length(pc.fill_null(batch.column("text"), "")).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        start = 0
-        while start < len(ends):
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        for start, stop in _steps(sizes, most):
             yield batch.slice(start, stop - start)
-            start = stop
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, size, z): texts compressed one by one, for a shuffle of whole texts; ``tie`` is a hash of the text."""
+
+    def run(batches):
+        codec = pa.Codec("zstd", 1)
+        for batch in text_steps(batches):
+            data, o = flat(batch.column("text"))
+            raw = data.tobytes()
+            texts = [raw[a:b] for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
+            ties = np.frombuffer(b"".join([hashlib.sha256(t).digest()[:8] for t in texts]), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ties), pa.array(np.diff(o)), pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], ["doc_id", "tie", "size", "z"])
+
+    return columns(docs, "doc_id", text="text").mapInArrow(run, "doc_id long, tie long, size long, z binary")
+
+
+def unpacked(batches, most: int = STEP_BYTES):
+    """(doc_id, text) of Arrow batches with the columns of ``packed``, in steps of at most ``most`` bytes (or one row)."""
+    codec = pa.Codec("zstd")
+    try:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            for start, stop in _steps(sizes, most):
+                part = batch.slice(start, stop - start)
+                texts = [codec.decompress(z.as_buffer(), n, asbytes=True) if n else b"" for z, n in zip(part.column("z"), sizes[start:stop].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+    finally:
+        trim()
 
 
 def heads_of(docs: DataFrame, found: DataFrame, key_of, kind: T.DataType) -> DataFrame:

@@ -7,11 +7,12 @@ are kept. The share of equal components, corrected for chance, estimates the Jac
 ``near_duplicates`` joins bands of the signature in Spark and verifies links by the exact Jaccard likeness of the sets;
 equal sets are one class from the start, keys over the same documents count once, links within a band key come out as a
 spanning forest, and keys of many documents are dealt to pairs of blocks. A pair of likeness J shares a key of r rows in
-one of b bands with probability 1 - (1 - J^r)^b: at 0.8, 0.9998 with 16 bands of 4, and all but 5 in 10^8 with 32.
+one of b bands with probability 1 - (1 - J^r)^b: at 0.8, 0.9998 with 16 bands of 4, and all but 5 in 10^8 with 32. The
+registered query has both: fingerprints beside edited texts, and each document's class.
 
 Edge cases: a null or empty text, or one of white space, has no shingles; all such are alike (likeness 1) and unlike any
-other; equal texts have equal fingerprints; repeated rows stay rows; a null ``doc_id`` sorts last in descending order;
-an empty table gives an empty table; other columns are not read.
+other; equal texts have equal fingerprints; repeated rows stay rows; a null ``doc_id`` sorts last in descending order,
+rows of one ``doc_id`` by a hash of their texts; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,8 +78,13 @@ def texts_signatures(column: pa.Array, p: MinHash) -> np.ndarray:
     return signatures(*shingles_of(*base.flat(column), p.shingle), p)
 
 
-EDITED = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+def set_names(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The name of each text's set of shingles."""
+    return [set_of(np.unique(h[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+EDITED = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, set binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("set", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
 
 
 def edit(text: str, after: str) -> str:
@@ -87,22 +93,24 @@ def edit(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _compared(ids: list, texts: list[str], after: list[str], own: np.ndarray, following: np.ndarray, p: MinHash, part: int) -> pa.RecordBatch:
+def _compared(ids: list, texts: list[str], after: list[str], own: np.ndarray, names: list[bytes], following: np.ndarray, p: MinHash, part: int) -> pa.RecordBatch:
     edited = [edit(t, a) for t, a in zip(texts, after)]
     other = texts_signatures(pa.array(edited, pa.string()), p)
     n = len(ids)
     return pa.RecordBatch.from_arrays([
         pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in other], pa.binary()),
+        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(names, pa.binary()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in other], pa.binary()),
         pa.array(likeness(own, other)), pa.array(likeness(own, following)), pa.nulls(n, pa.string()),
     ], schema=_SCHEMA)
 
 
 def compare_edits(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """Every document with its fingerprint, that of its edited text and their likeness; see ``edit``.
+    """Every document with its fingerprint, the name of its set of shingles, the fingerprint of its edited text and their
+    likeness; see ``edit``.
 
     The document after one is the next in descending ``doc_id``, after the last the first. Documents are dealt by ranges
-    of ``doc_id`` and stream by in order; the last of each range meets the first of the next in a second, small step.
+    of ``doc_id``, texts compressed, and stream by in order; the last of each range meets the first of the next in a
+    second, small step.
     """
 
     def run(batches):
@@ -110,22 +118,25 @@ def compare_edits(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
         part, held = TaskContext.get().partitionId(), None
         edge = lambda kind, d, t: pa.RecordBatch.from_pylist([{"kind": kind, "part": part, "doc_id": d, "text": t}], schema=_SCHEMA)
-        for batch in base.text_steps(batches):
+        for batch in base.unpacked(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            sig = texts_signatures(batch.column("text"), p)
+            found = shingles_of(*base.flat(batch.column("text")), p.shingle)
+            sig, names = signatures(*found, p), set_names(*found)
             if held is None:
                 yield edge(1, ids[0], texts[0])
             else:
-                ids, texts, sig = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], sig])
+                ids, texts, sig, names = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], sig]), [held[3], *names]
             if len(ids) > 1:
-                yield _compared(ids[:-1], texts[:-1], texts[1:], sig[:-1], sig[1:], p, part)
-            held = ids[-1], texts[-1], sig[-1:]
+                yield _compared(ids[:-1], texts[:-1], texts[1:], sig[:-1], names[:-1], sig[1:], p, part)
+            held = ids[-1], texts[-1], sig[-1:], names[-1]
         if held is not None:
             yield edge(2, held[0], held[1])
 
-    rows = base.columns(docs, "doc_id", text="text")
-    order = [F.col("doc_id").desc(), F.col("text")]
-    out = base.durable(rows.repartitionByRange(base.scan_parts(rows), order[0]).sortWithinPartitions(*order).mapInArrow(run, EDITED), "edits")
+    # rows that are equal in id and text may part anywhere
+    rows = base.packed(docs).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc(), F.col("tie"), F.col("row")]
+    dealt = rows.repartitionByRange(base.scan_parts(docs), *order).sortWithinPartitions(*order).drop("tie", "row")
+    out = base.durable(dealt.mapInArrow(run, EDITED), "edits")
     heads, tails = out.filter("kind = 1"), out.filter("kind = 2")
     # one row a range, without texts
     ranges = heads.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
@@ -133,8 +144,9 @@ def compare_edits(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
     def close(batches):
         for b in base.text_steps(batches):
-            own, after = texts_signatures(b.column("text"), p), texts_signatures(b.column("after"), p)
-            yield _compared(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("after").to_pylist(), own, after, p, -1)
+            found = shingles_of(*base.flat(b.column("text")), p.shingle)
+            after = texts_signatures(b.column("after"), p)
+            yield _compared(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("after").to_pylist(), signatures(*found, p), set_names(*found), after, p, -1)
 
     last = meets.select("doc_id", "text", "after").mapInArrow(close, EDITED)
     return out.filter("kind = 0").unionByName(last).drop("kind", "part", "text")
@@ -252,8 +264,7 @@ def one_of_each(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """
 
     def names(column: pa.Array) -> pa.Array:
-        h, o = shingles_of(*base.flat(column), p.shingle)
-        return pa.array([set_of(np.unique(h[a:b])) for a, b in zip(o[:-1].tolist(), o[1:].tolist())], pa.binary())
+        return pa.array(set_names(*shingles_of(*base.flat(column), p.shingle)), pa.binary())
 
     found = classes(docs, p).select("doc_id", F.col("set").alias("key"), F.col("class_id").alias("component_id"), "label")
     return base.heads_of(docs, found, names, T.BinaryType())
@@ -287,5 +298,7 @@ def jaccard_forest(nodes: list[int], sets: list[np.ndarray], threshold: float) -
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
-    out = compare_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = classes(docs).select(F.col("doc_id").alias("d"), F.col("set").alias("s"), "class_id").distinct()
+    out = compare_edits(docs).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("set") == F.col("s")))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

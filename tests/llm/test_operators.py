@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -275,20 +276,87 @@ def test_pair_identity():
     assert m.raw(i, x, np.array([0, 3]))[0] == pytest.approx(slow, rel=1e-5)
 
 
+M64 = (1 << 64) - 1
+
+
+def slow_mix(h):
+    for _ in range(2):
+        h = ((h ^ h >> 32) * 0xD6E8FEB86659FD93) & M64
+    return h ^ h >> 32
+
+
+def slow_signature(text, p=minhash.MinHash()):
+    """The signature of one text with Python's integers, word by word; also the set of its runs of words."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
+    runs = [words[i : i + p.shingle] for i in range(max(1, len(words) - p.shingle + 1))] if words else []
+    step, base = 0x9FB21C651E98DF25, 0x9E3779B97F4A7C15
+    hashes = set()
+    for run in runs:
+        h = 0
+        for w in run:
+            one = slow_mix((sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) + len(w)) & M64)
+            h = slow_mix((h * step + one) & M64)
+        hashes.add(h)
+    if not hashes:
+        return [0xFFFF] * p.perms, set()
+    return [slow_mix(min((h * int(a) + int(b)) & M64 for h in hashes)) >> 48 for a, b in zip(*p.coefficients())], {tuple(r) for r in runs}
+
+
 def test_minhash_edits(spark):
-    got = {r.doc_id: r for r in minhash.compare_edits(docs(spark)).collect()}
-    n = len(TEXTS)
-    sig = {i: minhash.texts_signatures(__import__("pyarrow").array([t or ""]), minhash.MinHash()) for i, t in enumerate(TEXTS)}
-    for i, t in enumerate(TEXTS):
-        t, after = t or "", TEXTS[(i - 1) % n] or ""
+    rng = random.Random(9)
+    vocab = [f"Word{i}" for i in range(400)]
+    texts = [*TEXTS, *(" ".join(rng.choices(vocab, k=k)) for k in (4, 5, 6, 90, 400)), "  \n\t", "A b"]
+    texts += [" ".join([*texts[12].split()[:80], "x", "y"])]
+    got = {r.doc_id: r for r in minhash.compare_edits(docs(spark, texts)).collect()}
+    n = len(texts)
+    like = lambda x, y: max(0.0, (sum(a == b for a, b in zip(x, y)) / 64 - 2**-16) / (1 - 2**-16))
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i - 1) % n] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert got[i].near_next == pytest.approx(float(minhash.likeness(sig[i], sig[(i - 1) % n])[0]))
+        (own, mine), (new, theirs), (nxt, _) = slow_signature(t), slow_signature(edited), slow_signature(after)
+        assert np.frombuffer(got[i].fingerprint, "<u2").tolist() == own
+        assert np.frombuffer(got[i].edited_fingerprint, "<u2").tolist() == new
+        assert got[i].near_next == pytest.approx(like(own, nxt)) and got[i].near_edited == pytest.approx(like(own, new))
+        if mine | theirs:
+            assert abs(got[i].near_edited - len(mine & theirs) / len(mine | theirs)) < 0.25
     assert got[7].near_next == 1.0 and got[1].near_next == 1.0
     assert minhash.compare_edits(docs(spark, [])).count() == 0
 
 
+def test_minhash_odd_rows(spark):
+    rows = [(None, "a b c"), (None, None), (3, "x y z"), (3, "x y z"), (3, "other words"), (2, "")]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, tie int, `set` int, `a.b` int")
+    got = minhash.compare_edits(table).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in got) == sorted((d or -1, len(t or "")) for d, t in rows)
+    # descending ids, nulls last, the first after the last; rows of one id by a hash of their texts
+    key = lambda r: (r[0] is None, -(r[0] or 0), int.from_bytes(hashlib.sha256((r[1] or "").encode()).digest()[:8], "big", signed=True))
+    line = sorted(rows, key=key)
+    want = []
+    for (d, t), (_, after) in zip(line, line[1:] + line[:1]):
+        t, half = t or "", len(t or "") // 2
+        want.append((d or -1, hashlib.sha256((t[: len(t) - half] + (after or "")[:half]).encode()).hexdigest()))
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted(want)
+
+
+def test_minhash_query(spark):
+    """Classes beside fingerprints, against the Jaccard likeness of all pairs."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sets = {d: slow_signature(t)[1] for d, t in texts.items()}
+    got = {r.doc_id: r for r in minhash.op4_minhash(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    least = {d: d for d in texts}
+    for d in texts:
+        for e in texts:
+            both = len(sets[d] & sets[e])
+            if d < e and 5 * both >= 4 * (len(sets[d]) + len(sets[e]) - both):
+                a, b = sorted((least[d], least[e]))
+                least = {k: a if v == b else v for k, v in least.items()}
+    assert {d: r.class_id for d, r in got.items()} == least and len(set(least.values())) < len(texts)
+
+
 def test_minhash_near_duplicates(spark):
     rng = np.random.default_rng(4)
     base = [[f"w{k}" for k in rng.integers(0, 500, 200)] for _ in range(6)]
