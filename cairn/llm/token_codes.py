@@ -5,17 +5,25 @@ chunk of every id, level k + 1 those of the ids that go on after level k; a bitm
 and a rank directory counts the set bits before every 512th position. Token i is read by one probe a level:
 ``chunk = level[i]; if bitmap[i]: i = rank(i); next level``. No block is decoded for it.
 
-``write_token_files`` deals documents by ranges of ``doc_id``, so that shard after shard holds them in ascending order;
-each task writes its shards through Spark's committer (a lost or doubled task leaves no files), one shard a row of a
-Parquet container, with the shard's payload as this module's binary format. ``read_token_files`` decodes them again.
+``write_token_files`` deals documents by ranges of ``doc_id``, so that file after file holds them in ascending order; rows
+that are equal in id and text may be dealt to several ranges. Each task writes plain files of shards, end to end, through
+Spark's committer (a lost or doubled task leaves no files). ``TokenFile`` reads single tokens from such a file: a few
+bytes a level, wherever it lies. ``read_token_files`` decodes whole files.
+
+A shard: header (magic, chunk bits, levels, documents, bytes in all), document ids with null flags, token offsets, then
+each level's length, chunks, bitmap and rank directory; last the numbers of its task, of the task's tokens before it and
+of its own, in decimal digits, and a line feed.
 
 Edge cases: a null or empty text has the end id only; a null ``doc_id`` sorts first and stays null; repeated rows are
-documents of their own, in an order that their equal ids leave open; an empty table gives no shards and no rows.
+documents of their own, and rows of one ``doc_id`` are in the order of a hash of their texts; an empty table gives no
+files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -28,9 +36,10 @@ from cairn.llm.wordcache import WordCoder, by_pieces, plain_pieces
 
 MAGIC = b"DACS"
 RANK_STEP = 512
-#: Tokens after which a shard ends (a longer document is a shard of its own).
-SHARD_TOKENS = 1 << 20
+#: Tokens after which a shard ends (a longer document is a shard of its own), and shards of a file.
+SHARD_TOKENS, FILE_SHARDS = 1 << 20, 8
 END_ID = 2
+HEAD, TAIL = "<4sHHQQ", 50
 
 
 def pack(ids: np.ndarray, chunk_bits: int = 8) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -50,25 +59,33 @@ def pack(ids: np.ndarray, chunk_bits: int = 8) -> list[tuple[np.ndarray, np.ndar
         rest = high[more]
 
 
-def shard_bytes(doc_ids: list, ids: list[np.ndarray], chunk_bits: int = 8) -> bytes:
-    """One shard: header, document ids with null flags, token offsets, levels."""
+def shard_bytes(doc_ids: list, ids: list[np.ndarray], chunk_bits: int = 8, part: int = 0, before: int = 0) -> bytes:
+    """One shard, without the line feed after it."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<u8")
     levels = pack(np.concatenate(ids) if ids else np.zeros(0, np.uint32), chunk_bits)
     null = np.array([d is None for d in doc_ids], np.uint8)
-    out = [struct.pack("<4sHHQ", MAGIC, chunk_bits, len(levels), len(doc_ids)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), offsets.tobytes()]
+    out = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), offsets.tobytes()]
     for chunk, bitmap, ranks in levels:
         out += [struct.pack("<Q", len(chunk)), chunk.tobytes(), bitmap.tobytes(), ranks.tobytes()]
-    return b"".join(out)
+    out.append(f"{part:010d}{before:020d}{int(offsets[-1]):020d}".encode())
+    size = struct.calcsize(HEAD) + sum(map(len, out))
+    return b"".join([struct.pack(HEAD, MAGIC, chunk_bits, len(levels), len(doc_ids), size), *out])
+
+
+def _head(raw: bytes) -> tuple[int, int, int, int]:
+    """Chunk bits, levels, documents and bytes of a shard."""
+    magic, *rest = struct.unpack_from(HEAD, raw)
+    if magic != MAGIC:
+        raise ValueError("not a shard of directly addressable codes")
+    return tuple(rest)
 
 
 class Shard:
     """A view of a shard's bytes: ``shard[i]`` is token i, ``decode()`` all of them."""
 
     def __init__(self, blob: bytes):
-        magic, self.bits, n_levels, n = struct.unpack_from("<4sHHQ", blob)
-        if magic != MAGIC:
-            raise ValueError("not a shard of directly addressable codes")
-        at = 16
+        self.bits, n_levels, n, self.size = _head(blob)
+        at = struct.calcsize(HEAD)
         self.doc_ids, at = np.frombuffer(blob, "<i8", n, at), at + 8 * n
         self.null, at = np.frombuffer(blob, np.uint8, n, at).astype(bool), at + n
         self.offsets, at = np.frombuffer(blob, "<u8", n + 1, at).astype(np.int64), at + 8 * (n + 1)
@@ -80,6 +97,8 @@ class Shard:
             bitmap, at = np.frombuffer(blob, np.uint8, -(-m // 8), at), at - (-m // 8)
             ranks, at = np.frombuffer(blob, "<u4", -(-m // RANK_STEP), at), at + 4 * -(-m // RANK_STEP)
             self.levels.append((chunk, bitmap, ranks))
+        tail = bytes(blob[at : at + TAIL])
+        self.part, self.before = int(tail[:10]), int(tail[10:30])
 
     def __len__(self) -> int:
         return int(self.offsets[-1])
@@ -93,8 +112,7 @@ class Shard:
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 return value
             low = i // RANK_STEP * RANK_STEP
-            bits = np.unpackbits(bitmap[low >> 3 : (i >> 3) + 1], bitorder="little")[: i - low]
-            i, shift = int(ranks[i // RANK_STEP]) + int(bits.sum()), shift + self.bits
+            i, shift = int(ranks[i // RANK_STEP]) + _ones(bitmap[low >> 3 : (i >> 3) + 1].tobytes(), i - low), shift + self.bits
         raise ValueError("a code goes on after the last level")
 
     def decode(self) -> np.ndarray:
@@ -107,6 +125,63 @@ class Shard:
         return value if value is not None else np.zeros(0, np.uint32)
 
 
+def _ones(bitmap: bytes, n: int) -> int:
+    """Set bits among the first ``n``."""
+    return (int.from_bytes(bitmap, "little") & ((1 << n) - 1)).bit_count()
+
+
+def shards_of(blob):
+    """The shards of a file's bytes."""
+    view, at = memoryview(blob), 0
+    while at < len(view):
+        shard = Shard(view[at:])
+        yield shard
+        at += shard.size + 1
+
+
+class TokenFile:
+    """Tokens of one file by their place in it, read from an open binary file by seeking: ``TokenFile(f)[i]``."""
+
+    def __init__(self, file):
+        self.file, self.shards, at, first = file, [], 0, 0
+        end = file.seek(0, 2)
+        while at < end:
+            bits, n_levels, n, size = _head(self._read(at, struct.calcsize(HEAD)))
+            level, levels = at + struct.calcsize(HEAD) + 9 * n + 8 * (n + 1), []
+            for _ in range(n_levels):
+                (m,) = struct.unpack("<Q", self._read(level, 8))
+                chunks = level + 8
+                bitmap = chunks + m * bits // 8
+                ranks = bitmap - (-m // 8)
+                levels.append((chunks, bitmap, ranks))
+                level = ranks + 4 * -(-m // RANK_STEP)
+            n_tokens = int(self._read(level, TAIL)[30:])
+            self.shards.append((first, bits // 8, levels))
+            first, at = first + n_tokens, at + size + 1
+        self.n = first
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        first, width, levels = self.shards[bisect.bisect_right(self.shards, i, key=lambda s: s[0]) - 1]
+        i, value, shift = i - first, 0, 0
+        for chunks, bitmap, ranks in levels:
+            value |= int.from_bytes(self._read(chunks + i * width, width), "little") << shift
+            low = i // RANK_STEP * RANK_STEP
+            bits = self._read(bitmap + (low >> 3), (i >> 3) - (low >> 3) + 1)
+            if not bits[-1] >> (i & 7) & 1:
+                return value
+            i, shift = int.from_bytes(self._read(ranks + i // RANK_STEP * 4, 4), "little") + _ones(bits, i - low), shift + 8 * width
+        raise ValueError("a code goes on after the last level")
+
+
 _CACHES: dict = {}
 
 
@@ -148,57 +223,68 @@ def library_cache(vocab: str) -> WordCoder:
     return _CACHES[vocab]
 
 
-def write_token_files(docs: DataFrame, vocab: str, end_id: int = END_ID, chunk_bits: int = 8) -> DataFrame:
-    """Durable shards (first_doc, part, shard, before, n_docs, n_tokens, codes) of all documents, each with ``end_id`` appended."""
+def write_token_files(docs: DataFrame, vocab: str, end_id: int = END_ID, chunk_bits: int = 8, path: str | None = None) -> DataFrame:
+    """Files of all documents, each with ``end_id`` appended, in the folder ``path`` (else one of the shared folder): a
+    table of Spark's ``binaryFile`` source."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, shard, cache = TaskContext.get().partitionId(), 0, library_cache(vocab)
+        part, cache = TaskContext.get().partitionId(), library_cache(vocab)
         tail = np.array([end_id], np.uint32)
         doc_ids, ids, size, before = [], [], 0, 0
 
         def row():
-            return pa.RecordBatch.from_pydict({"first_doc": pa.array([doc_ids[0]], pa.int64()), "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "codes": pa.array([shard_bytes(doc_ids, ids, chunk_bits)], pa.binary())})
+            blob = shard_bytes(doc_ids, ids, chunk_bits, part, before)
+            # any bytes, as the text source writes them as they are
+            column = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(blob)], np.int32)), pa.py_buffer(blob)])
+            return pa.RecordBatch.from_arrays([column], ["value"])
 
-        for batch in base.text_steps(batches, 4 * base.STEP_BYTES):
+        for batch in base.unpacked(batches, 4 * base.STEP_BYTES):
             flat, o = cache.column(batch.column("text"))
             for d, a, b in zip(batch.column("doc_id").to_pylist(), o.tolist(), o[1:].tolist()):
                 x = np.concatenate([flat[a:b], tail])
                 if ids and size + len(x) > SHARD_TOKENS:
                     yield row()
-                    shard, before, doc_ids, ids, size = shard + 1, before + size, [], [], 0
+                    before, doc_ids, ids, size = before + size, [], [], 0
                 doc_ids.append(d)
                 ids.append(x)
                 size += len(x)
         if ids:
             yield row()
 
-    rows = base.columns(docs, "doc_id", text="text")
-    dealt = rows.repartitionByRange(base.scan_parts(rows), "doc_id").sortWithinPartitions("doc_id")
-    return base.durable(dealt.mapInArrow(run, "first_doc long, part int, shard int, before long, n_docs long, n_tokens long, codes binary"), "tokens")
+    spark = docs.sparkSession
+    path = path or f"{base.shared_dir(spark)}/cairn/tokens-{uuid.uuid4().hex}"
+    rows = base.packed(docs).withColumn("row", F.monotonically_increasing_id())
+    order = ["doc_id", "tie", "row"]
+    dealt = rows.repartitionByRange(base.scan_parts(docs), *order).sortWithinPartitions(*order).drop("tie", "row")
+    dealt.mapInArrow(run, "value string").write.option("maxRecordsPerFile", FILE_SHARDS).option("lineSep", "\n").text(path)
+    return spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
 
 
-def read_token_files(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, all from the shards' bytes.
+def read_token_files(files: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, middle_id) of every document, all from the files' bytes.
 
-    A shard knows the tokens before it in its part; those before its part come from a running sum over parts, one small
-    row a writing task, which is what is broadcast.
+    ``middle_id`` is the id at half the document's length, rounded down, which is read alone. A shard knows the tokens before it in its
+    task; those of the tasks before come from a running sum over one small row a writing task.
     """
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    starts = parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    digits = lambda at, n: F.decode(F.substring("content", at - TAIL - 1, n), "US-ASCII").cast("long")
+    parts = files.select(digits(0, 10).alias("p"), (digits(10, 20) + digits(30, 20)).alias("upto")).groupBy("p").agg(F.max("upto").alias("n"))
+    order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("p", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
 
     def run(batches):
         for batch in batches:
-            for blob, first in zip(batch.column("codes"), batch.column("base").to_pylist()):
-                s = Shard(blob.as_buffer().to_pybytes())
-                ids = memoryview(s.decode().astype("<u4").view(np.uint8))
-                o = s.offsets.tolist()
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(o, o[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(s.offsets[:-1] + first), pa.array(np.diff(s.offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return shards.join(F.broadcast(starts), "part").select("codes", (F.col("base") + F.col("before")).alias("base")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for blob in batch.column("content"):
+                for s in shards_of(blob.as_buffer()):
+                    ids = memoryview(s.decode().astype("<u4").view(np.uint8))
+                    o, n = s.offsets.tolist(), np.diff(s.offsets)
+                    crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(o, o[1:])]
+                    middle = [s[i] for i in (s.offsets[:-1] + n // 2).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(np.full(len(n), s.part)), pa.array(s.offsets[:-1] + s.before), pa.array(n), pa.array(crc, pa.int64()), pa.array(middle, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32", "middle_id"])
+
+    rows = files.select("content").mapInArrow(run, "doc_id long, part long, place long, n_tokens long, ids_crc32 long, middle_id long")
+    return rows.join(starts, F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "middle_id")
 
 
 def op2_token_codes(spark, sf_dir: str) -> DataFrame:

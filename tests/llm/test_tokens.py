@@ -60,11 +60,66 @@ def test_token_files(spark, library):
     start = 0
     for i, (t, r) in enumerate(zip(texts, got)):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.middle_id) == (i, start, len(ids), zlib.crc32(ids.tobytes()), ids[len(ids) // 2])
         start += len(ids)
     assert token_codes.read_token_files(token_codes.write_token_files(rows(spark, []), VOCAB)).count() == 0
 
 
+class Counted:
+    """An open file that counts what is read."""
+
+    def __init__(self, file):
+        self.file, self.n = file, 0
+
+    def seek(self, *at):
+        return self.file.seek(*at)
+
+    def read(self, n):
+        self.n += n
+        return self.file.read(n)
+
+
+@pytest.mark.parametrize("bits", [8, 16])
+def test_token_files_are_addressable(spark, library, tmp_path, monkeypatch, bits):
+    """Any token of a file on disk by a few bytes, without decoding anything."""
+    monkeypatch.setattr(token_codes, "SHARD_TOKENS", 5000)
+    monkeypatch.setattr(token_codes, "FILE_SHARDS", 3)
+    texts = [" ".join(["the", "quick", "zyx", str(i)][: 1 + i % 4] * (1 + i * 7 % 300)) for i in range(200)]
+    table = rows(spark, texts).repartition(3)
+    found = token_codes.write_token_files(table, VOCAB, chunk_bits=bits, path=str(tmp_path / "tokens"))
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    everything = np.concatenate(want)
+    by_file = {}
+    for r in found.collect():
+        shards = list(token_codes.shards_of(r.content))
+        by_file[r.path.removeprefix("file:")] = (shards[0].part, shards[0].before, [s.decode() for s in shards])
+    order = sorted(by_file, key=lambda p: by_file[p][:2])
+    assert np.concatenate([x for p in order for x in by_file[p][2]]).tolist() == everything.tolist() and len(order) > 3
+    at = 0
+    for p in order:
+        with open(p, "rb") as f:
+            file = Counted(f)
+            tokens = token_codes.TokenFile(file)
+            for i in [0, len(tokens) - 1, *range(5, len(tokens), 997)]:
+                file.n = 0
+                assert tokens[i] == everything[at + i]
+                assert file.n < 150
+            at += len(tokens)
+    assert at == len(everything)
+
+
+def test_token_files_odd_rows(spark, library):
+    lines = [(None, "b c"), (3, "x y"), (3, "x y"), (3, "other"), (3, None), (-2, ""), (9, "word " * 3000)]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in lines], "doc_id long, text string, tie int, `row` int, `a.b` int").repartition(4)
+    got = sorted(token_codes.read_token_files(token_codes.write_token_files(table, VOCAB)).collect(), key=lambda r: r.start)
+    key = lambda r: (r[0] is not None, r[0] or 0, int.from_bytes(hashlib.sha256((r[1] or "").encode()).digest()[:8], "big", signed=True))
+    start = 0
+    for (d, t), r in zip(sorted(lines, key=key), got, strict=True):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_bpe_round_trip(spark, library):
     texts = [*ODD, None]
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(rows(spark, texts), VOCAB), VOCAB).collect()}
