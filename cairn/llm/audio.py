@@ -8,7 +8,7 @@ such a column. A clip goes through
 3. hysteresis segmentation of frame energy: a segment opens at ``on`` above the clip's mean and closes at ``off`` below.
 
 The bands are stored as Arrow ``fixed_shape_tensor`` values of 32 x 16 int16 with the time span of each, one Arrow IPC
-stream a clip. Filter and transform coefficients are rounded to integers, so that every sum is exact in floating point:
+stream a clip, in a durable table beside the segments; digests are those of the stored streams. Filter and transform coefficients are rounded to integers, so that every sum is exact in floating point:
 equal clips give equal tensors whatever batch or executor they fall into.
 
 Edge cases: a null or empty text is a clip of 192 spaces (silence of one level); repeated rows give repeated clips;
@@ -217,7 +217,7 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def audio_features(media: DataFrame, params: AudioParams = AudioParams()) -> DataFrame:
-    """Decode the clips of (doc_id, media) and compute their digests, tensors (see ``read_tensors``) and segments."""
+    """Durable table of the clips' digests, tensors (see ``read_tensors``) and segments, from (doc_id, media)."""
 
     def run(batches):
         front = Frontend(params)
@@ -239,7 +239,7 @@ def audio_features(media: DataFrame, params: AudioParams = AudioParams()) -> Dat
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds))], [x.strip().split(" ")[0] for x in FEATURES.split(", ")[:9]] + ["segments"])
                 start = stop
 
-    return media.select("doc_id", "media").mapInArrow(run, FEATURES)
+    return base.durable(media.select("doc_id", "media").mapInArrow(run, FEATURES), "audio")
 
 
 def op1_audio_features(spark, sf_dir: str) -> DataFrame:

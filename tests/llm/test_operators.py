@@ -276,6 +276,81 @@ def test_pair_identity():
     assert m.raw(i, x, np.array([0, 3]))[0] == pytest.approx(slow, rel=1e-5)
 
 
+def slow_bands(clip, p, exact=True):
+    """Log-mel bands, energy and segments of one clip by plain loops; without ``exact`` no coefficient is rounded."""
+    near = (lambda v, unit: np.rint(v * unit)) if exact else (lambda v, unit: v * unit)
+    x = np.array([b - 128.0 for b in clip])
+    wide, taps = max(p.up, p.down), p.half_taps * max(p.up, p.down)
+    y = []
+    for m in range(len(x) * p.up // p.down):
+        total = 0.0
+        for i in range(max(0, (m * p.down - taps) // p.up), min(len(x), (m * p.down + taps) // p.up + 1)):
+            k = m * p.down - i * p.up
+            if abs(k) <= taps:
+                total += x[i] * near(np.sinc(k / wide) * (0.5 + 0.5 * np.cos(np.pi * k / (taps + 1))) * p.up / wide, 1024)
+        y.append(total)
+    size = 2 * p.hop
+    t = np.arange(size)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * (t + 0.5) / size)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (e / 2595) - 1) for e in np.linspace(mel(60.0), mel(p.out_rate / 2), p.n_mels + 2)]
+    bands, energy = [], []
+    for start in range(0, len(y) - size + 1, p.hop):
+        frame = np.array(y[start : start + size])
+        power = []
+        for b in range(1, p.hop + 1):
+            re, im = (sum(frame * near(f(2 * np.pi * b * t / size) * window, 65536)) for f in (np.cos, np.sin))
+            power.append((re * re + im * im) * 2.0**-44)
+        row = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            freq = [(b + 1) * p.out_rate / size for b in range(p.hop)]
+            w = [max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for f in freq]
+            if not any(w):
+                w[min(range(p.hop), key=lambda b: abs(freq[b] - mid))] = 1.0
+            row.append(sum(a * b for a, b in zip(power, w)))
+        bands.append([np.rint(np.log2(v + 1) * 32) for v in row])
+        energy.append(int(np.rint(np.log2(sum(row) + 1) * 256)))
+    mean, active, segments = sum(energy) // len(energy), False, []
+    for k, e in enumerate(energy):
+        if not active and e - mean >= p.on * 256:
+            active = True
+            segments.append([k, len(energy)])
+        elif active and e - mean < -p.off * 256:
+            active = False
+            segments[-1][1] = k
+    return np.array(bands), segments
+
+
+def test_audio_against_loops():
+    p, rng = audio.AudioParams(), np.random.default_rng(6)
+    loud = lambda n: rng.integers(0, 256, n)
+    quiet = lambda n: rng.integers(126, 131, n)
+    clips = [np.concatenate(c).astype(np.uint8).tobytes() for c in ([loud(192)], [quiet(960), loud(1152), quiet(768), loud(960)], [loud(480), quiet(1440)], [np.full(384, 32)])]
+    clips.append(("some text, as bytes. " * 100).encode()[:1920])
+    found = 0
+    for clip, (tensors, n, segments) in zip(clips, audio.Frontend(p).features(clips)):
+        want, parts = slow_bands(clip, p)
+        got = tensors.reshape(-1, p.n_mels)
+        assert n == len(want) and np.abs(got[:n] - want).max() <= 1 and not got[n:].any()
+        assert segments.tolist() == parts
+        found += len(parts)
+        free, _ = slow_bands(clip, p, exact=False)
+        assert np.abs(got[:n] - free)[free > 200].max(initial=0) <= 2
+    assert found >= 3
+
+
+def test_audio_is_stored(spark):
+    """Tensors and spans are read from files; odd rows have them too."""
+    table = spark.createDataFrame([(None, None, 1, 2), (4, "x" * 500, 1, 2), (4, "x" * 500, 1, 2)], "doc_id long, text string, media int, `a.b` int")
+    stored = audio.audio_features(audio.store_media(table))
+    assert stored.inputFiles() and all("audio" in f for f in stored.inputFiles())
+    got = stored.collect()
+    assert sorted((r.doc_id or -1, r.n_bytes) for r in got) == [(-1, 0), (4, 500), (4, 500)]
+    for r in got:
+        spans = audio.read_tensors(r.features)
+        assert spans.column("start_s")[0].as_py() == 0.0 and r.n_frames == r.payload_bytes * 2 // 3 // 64 - 1
+
+
 M64 = (1 << 64) - 1
 
 
