@@ -4,13 +4,15 @@ Features of a text: hashed words (square-root counts, scaled to unit length), st
 levels, and the level of its length as metadata. Score: ``sigmoid(b + w.x + pairs)`` where the interactions of all pairs
 ``sum_{i<j} <v_i, v_j> x_i x_j`` are computed in linear time as half of ``sum_f (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2``.
 
-It is fitted with AdaGrad on at most ``max_rows`` labelled rows (by hash of doc_id, the same whatever the partitioning);
-features come from the executors, the driver sees that bounded sample only. The model, of fixed size, goes to the
-scoring tasks. Labels, language, source and doc_id are never inputs of a score.
+It is fitted with AdaGrad on at most ``max_rows`` labelled rows (by hash of doc_id, the same whatever the partitioning;
+one row a doc_id, that of the least features); features come from the executors, the driver sees that bounded sample
+only. The model, of fixed size, goes to the scoring tasks. Labels, language, source and doc_id are never inputs of a
+score.
 
 Edge cases: a null or empty text has the features of its structure only and still a score; equal texts have equal
-scores; labels of unknown documents and null labels are left out; without a single usable label every score is 0.5;
-repeated rows are scored each; an empty table gives an empty table; other columns are not read.
+scores; labels of unknown documents and null labels are left out, of several the greatest counts; without a single
+usable label every score is 0.5; repeated rows are scored each; a null ``doc_id`` is scored and never learnt from; an
+empty table gives an empty table; other columns, whatever their names, are kept where asked for and not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm import base
 
@@ -32,7 +35,8 @@ THRESHOLD = 0.3
 class FmParams:
     bits: int = 16  # of a word's hash
     rank: int = 8
-    epochs: int = 5
+    visits: int = 60_000  # of rows in training: a small sample is gone over more often,
+    most_epochs: int = 100  # so many times at most
     batch: int = 64
     rate: float = 0.1
     decay: float = 1e-4
@@ -120,7 +124,7 @@ def train(index: np.ndarray, value: np.ndarray, offsets: np.ndarray, y: np.ndarr
     m = Model(p, 0.0, np.zeros(n, np.float32), rng.normal(0, 0.05, (n, p.rank)).astype(np.float32))
     gw, gv, gb = np.full(n, 1e-2, np.float32), np.full((n, p.rank), 1e-2, np.float32), 1e-2
     size = np.diff(offsets)
-    for _ in range(p.epochs):
+    for _ in range(max(1, min(p.most_epochs, p.visits // max(1, len(y))))):
         order = rng.permutation(len(y))
         for k in range(0, len(y), p.batch):
             rows = order[k : k + p.batch]
@@ -166,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: FmParams = FmParams()) -> Model:
             pack = lambda a, kind: pa.array([a[b:e].astype(kind).tobytes() for b, e in zip(o[:-1].tolist(), o[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int32()), pack(i, "<i4"), pack(x, "<f4")], ["doc_id", "y", "i", "x"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, i binary, x binary").collect(), key=lambda r: (r.doc_id, r.i, r.x))
+    # rows, not only labels, are bounded: one a doc_id leaves the executors
+    found = rows.mapInArrow(run, "doc_id long, y int, i binary, x binary").groupBy("doc_id", "y").agg(F.min(F.struct("i", "x")).alias("f")).select("doc_id", "y", "f.i", "f.x")
+    got = sorted(found.collect(), key=lambda r: r.doc_id)
     if not got:
         return empty_model(p)
     index, value = np.frombuffer(b"".join(r.i for r in got), "<i4"), np.frombuffer(b"".join(r.x for r in got), "<f4")
@@ -174,25 +180,33 @@ def fit(docs: DataFrame, labels: DataFrame, p: FmParams = FmParams()) -> Model:
     return train(index, value, offsets, np.array([r.y for r in got], np.float64), p)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """The columns ``keep`` and the score of every whole text in the column ``out``."""
-    names = list(keep)
-    schema = docs.select(*names).schema.add(out, "double")
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with columns by place (see ``by_place``) and ``score``."""
+    whole, places = base.by_place(docs)
+    names = ["text" if c == places["text"] else c for c in whole.columns]
+    rows = whole.toDF(*names)
     shared = docs.sparkSession.sparkContext.broadcast((model.params, model.bias, model.w, model.v))
-    at = names.index("text") if "text" in names else len(names)
 
     def run(batches):
         m = Model(*shared.value)
         for batch in base.text_steps(batches):
-            s = m.score(*base.flat(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.round(s, 12))], [*names, out])
+            s = m.score(*base.flat(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(s, 12))], [*names, "score"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
-    return docs.select(*(F.col(f"`{c}`") for c in (names if "text" in names else [*names, "text"]))).mapInArrow(run, schema)
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score of every whole text in the column ``out``."""
+    whole, places = base.by_place(docs)
+    lean = whole.select(*(F.col(places[c]) for c in dict.fromkeys((*keep, "text")))).toDF(*dict.fromkeys((*keep, "text")))
+    scored = _scored(lean, model)
+    return scored.select(*scored.columns[: len(dict.fromkeys(keep))], "score").toDF(*dict.fromkeys(keep), out)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    return score(docs, model, tuple(docs.columns), "__score").filter(F.col("__score") >= threshold).drop("__score")
+    return _scored(docs, model).filter(F.col("score") >= threshold).drop("score").toDF(*docs.columns)
 
 
 def op6_quality_fm(spark, sf_dir: str) -> DataFrame:
