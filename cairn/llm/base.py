@@ -6,7 +6,6 @@ Nothing outside :mod:`cairn.llm` imports this module.
 from __future__ import annotations
 
 import ctypes
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,11 @@ STEP_BYTES = 1 << 20
 
 def columns(df: DataFrame, *names: str, text: str | None = None) -> DataFrame:
     """Only the named columns, the text as a non-null string; other columns, clashing names included, stay behind."""
-    out = [F.col(n) for n in names]
+    whole, places = by_place(df)
+    out = [F.col(places[n]).alias(n) for n in names]
     if text:
-        out.append(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return df.select(*out)
+        out.append(F.coalesce(F.col(places[text]), F.lit("")).alias("text"))
+    return whole.select(*out)
 
 
 def byte_letters() -> list[str]:
@@ -81,23 +81,33 @@ def _text_steps(batches, most: int):
             yield batch.slice(start, stop - start)
 
 
+def tied(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, text); ``tie`` is the XXH64 of the text."""
+    return columns(docs, "doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, size, z): texts compressed one by one, for a shuffle of whole texts; ``tie`` is a hash of the text."""
+    """(doc_id, tie, size, z): texts compressed one by one, for a shuffle of whole texts."""
 
     def run(batches):
-        codec = pa.Codec("zstd", 1)
-        for batch in text_steps(batches):
-            data, o = flat(batch.column("text"))
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
-            ties = np.frombuffer(b"".join([hashlib.sha256(t).digest()[:8] for t in texts]), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ties), pa.array(np.diff(o)), pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], ["doc_id", "tie", "size", "z"])
+        yield from pack_texts(batches, ("doc_id", "tie"))
+        trim()
+
+    return tied(docs).mapInArrow(run, "doc_id long, tie long, size long, z binary")
+
 
-    return columns(docs, "doc_id", text="text").mapInArrow(run, "doc_id long, tie long, size long, z binary")
+def pack_texts(batches, keep: tuple[str, ...]):
+    """The columns ``keep`` of Arrow batches, each text's bytes (``size``) and its compressed form (``z``)."""
+    codec = pa.Codec("zstd", 1)
+    for batch in _text_steps(batches, STEP_BYTES):
+        data, o = flat(batch.column("text"))
+        raw = data.tobytes()
+        z = [codec.compress(raw[a:b], asbytes=True) if b > a else b"" for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(o)), pa.array(z, pa.binary())], [*keep, "size", "z"])
 
 
-def unpacked(batches, most: int = STEP_BYTES):
-    """(doc_id, text) of Arrow batches with the columns of ``packed``, in steps of at most ``most`` bytes (or one row)."""
+def unpacked(batches, most: int = STEP_BYTES, keep: tuple[str, ...] = ("doc_id",)):
+    """The columns ``keep`` and the text of Arrow batches with ``size`` and ``z``, in steps of ``most`` bytes (or one row)."""
     codec = pa.Codec("zstd")
     try:
         for batch in batches:
@@ -105,7 +115,7 @@ def unpacked(batches, most: int = STEP_BYTES):
             for start, stop in _steps(sizes, most):
                 part = batch.slice(start, stop - start)
                 texts = [codec.decompress(z.as_buffer(), n, asbytes=True) if n else b"" for z, n in zip(part.column("z"), sizes[start:stop].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
     finally:
         trim()
 
@@ -118,20 +128,23 @@ def heads_of(docs: DataFrame, found: DataFrame, key_of, kind: T.DataType) -> Dat
     heads = F.col("doc_id").eqNullSafe(F.col("component_id"))
     odd = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(heads).alias("head")).filter("head and (n > 1 or doc_id is null)")
     kept = found.filter(heads)
+    whole, places = by_place(docs)
+    id_ = F.col(places["doc_id"]).cast("long")
     if odd.isEmpty():
-        return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+        return whole.join(kept.select(F.col("doc_id").alias("kept")), id_ == F.col("kept"), "left_semi").toDF(*docs.columns)
     # ids do not tell rows apart: deal the rows of smallest doc_id by label
-    names = docs.columns
+    names = ["text" if c == places["text"] else c for c in whole.columns]
+    rows = whole.toDF(*names)
 
     def run(batches):
         for batch in text_steps(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, key_of(batch.column("text"))], [*names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, key_of(batch.column("text"))], [*names, "key"])
 
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", kind)]))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("label").alias("__label")).distinct()
-    near = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
-    first = Window.partitionBy("__label").orderBy(F.xxhash64("text"))
-    return near.withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*(F.col(f"`{c}`") for c in names))
+    keyed = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("key", kind)]))
+    kept = kept.select(F.col("doc_id").alias("kept"), F.col("key").alias("k"), "label").distinct()
+    near = keyed.join(kept, id_.eqNullSafe(F.col("kept")) & (F.col("key") == F.col("k")))
+    first = Window.partitionBy("label").orderBy(F.xxhash64("text"))
+    return near.withColumn("place", F.row_number().over(first)).filter("place = 1").select(*names).toDF(*docs.columns)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

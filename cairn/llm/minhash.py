@@ -31,7 +31,9 @@ from cairn.operators.components import connected_components
 
 #: Documents, and shingles of theirs, of a band key that a task compares at once.
 BLOCK = 4096
-GRAMS = 1 << 22
+GRAMS = 1 << 21
+#: Bits of the filter that says whose texts may be asked for; its size is fixed, so it can be broadcast whatever the input.
+FILTER = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -78,13 +80,19 @@ def texts_signatures(column: pa.Array, p: MinHash) -> np.ndarray:
     return signatures(*shingles_of(*base.flat(column), p.shingle), p)
 
 
-def set_names(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The name of each text's set of shingles."""
-    return [set_of(np.unique(h[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+def set_of(grams: np.ndarray) -> bytes:
+    """The name of a set of shingles (sorted hashes)."""
+    return hashlib.blake2b(grams.astype("<u8").tobytes(), digest_size=16).digest()
+
 
+def set_names(h: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """The name of each text's set of shingles, and its size."""
+    sets = [np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return [set_of(s) for s in sets], [len(s) for s in sets]
 
-EDITED = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, set binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("set", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+
+_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("set", pa.binary()), ("n", pa.int64()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+EDITED = "kind int, part int, row long, doc_id long, tie long, n_chars long, edited_sha256 string, set binary, n long, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
 
 
 def edit(text: str, after: str) -> str:
@@ -93,20 +101,23 @@ def edit(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _compared(ids: list, texts: list[str], after: list[str], own: np.ndarray, names: list[bytes], following: np.ndarray, p: MinHash, part: int) -> pa.RecordBatch:
+def _compared(rows: list[tuple], texts: list[str], after: list[str], own: np.ndarray, following: np.ndarray, p: MinHash, part: int) -> pa.RecordBatch:
+    """Of rows (row, doc_id, tie, set, n) with their texts, and those after them, what ``compare_edits`` returns."""
     edited = [edit(t, a) for t, a in zip(texts, after)]
     other = texts_signatures(pa.array(edited, pa.string()), p)
-    n = len(ids)
+    n, (row, ids, ties, names, sizes) = len(rows), zip(*rows)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(names, pa.binary()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in other], pa.binary()),
+        pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(row, pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in other], pa.binary()),
         pa.array(likeness(own, other)), pa.array(likeness(own, following)), pa.nulls(n, pa.string()),
     ], schema=_SCHEMA)
 
 
 def compare_edits(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """Every document with its fingerprint, the name of its set of shingles, the fingerprint of its edited text and their
-    likeness; see ``edit``.
+    """Every document with its fingerprint, the fingerprint of its edited text and their likeness; see ``edit``.
+
+    Columns: row (a number of its own), doc_id, tie (hash of the text), n_chars, edited_sha256, set and n (name and size
+    of the set of shingles), fingerprint, edited_fingerprint, near_edited, near_next.
 
     The document after one is the next in descending ``doc_id``, after the last the first. Documents are dealt by ranges
     of ``doc_id``, texts compressed, and stream by in order; the last of each range meets the first of the next in a
@@ -116,39 +127,41 @@ def compare_edits(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        part, held = TaskContext.get().partitionId(), None
-        edge = lambda kind, d, t: pa.RecordBatch.from_pylist([{"kind": kind, "part": part, "doc_id": d, "text": t}], schema=_SCHEMA)
-        for batch in base.unpacked(batches):
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        part, held, place = TaskContext.get().partitionId(), None, 0
+        edge = lambda kind, r, t: pa.RecordBatch.from_pylist([{"kind": kind, "part": part, "row": r[0], "doc_id": r[1], "tie": r[2], "text": t}], schema=_SCHEMA)
+        for batch in base.unpacked(batches, keep=("doc_id", "tie")):
+            texts = batch.column("text").to_pylist()
             found = shingles_of(*base.flat(batch.column("text")), p.shingle)
-            sig, names = signatures(*found, p), set_names(*found)
+            sig = signatures(*found, p)
+            numbers = [(part << 40) + k for k in range(place, place + len(texts))]
+            rows, place = list(zip(numbers, batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), *set_names(*found))), place + len(texts)
             if held is None:
-                yield edge(1, ids[0], texts[0])
+                yield edge(1, rows[0], texts[0])
             else:
-                ids, texts, sig, names = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], sig]), [held[3], *names]
-            if len(ids) > 1:
-                yield _compared(ids[:-1], texts[:-1], texts[1:], sig[:-1], names[:-1], sig[1:], p, part)
-            held = ids[-1], texts[-1], sig[-1:], names[-1]
+                rows, texts, sig = [held[0], *rows], [held[1], *texts], np.concatenate([held[2], sig])
+            if len(rows) > 1:
+                yield _compared(rows[:-1], texts[:-1], texts[1:], sig[:-1], sig[1:], p, part)
+            held = rows[-1], texts[-1], sig[-1:]
         if held is not None:
             yield edge(2, held[0], held[1])
 
     # rows that are equal in id and text may part anywhere
     rows = base.packed(docs).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("doc_id").desc(), F.col("tie"), F.col("row")]
-    dealt = rows.repartitionByRange(base.scan_parts(docs), *order).sortWithinPartitions(*order).drop("tie", "row")
+    dealt = rows.repartitionByRange(base.scan_parts(docs), *order).sortWithinPartitions(*order).drop("row")
     out = base.durable(dealt.mapInArrow(run, EDITED), "edits")
     heads, tails = out.filter("kind = 1"), out.filter("kind = 2")
     # one row a range, without texts
     ranges = heads.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
-    meets = tails.select("part", "doc_id", "text").join(ranges, "part").join(heads.select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
+    meets = tails.select("part", "row", "doc_id", "tie", "text").join(ranges, "part").join(heads.select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
 
     def close(batches):
         for b in base.text_steps(batches):
             found = shingles_of(*base.flat(b.column("text")), p.shingle)
-            after = texts_signatures(b.column("after"), p)
-            yield _compared(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("after").to_pylist(), signatures(*found, p), set_names(*found), after, p, -1)
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "tie")), *set_names(*found)))
+            yield _compared(rows, b.column("text").to_pylist(), b.column("after").to_pylist(), signatures(*found, p), texts_signatures(b.column("after"), p), p, -1)
 
-    last = meets.select("doc_id", "text", "after").mapInArrow(close, EDITED)
+    last = meets.select("row", "doc_id", "tie", "text", "after").mapInArrow(close, EDITED)
     return out.filter("kind = 0").unionByName(last).drop("kind", "part", "text")
 
 
@@ -161,11 +174,6 @@ def band_keys(sig: np.ndarray, p: MinHash) -> np.ndarray:
     return out
 
 
-def set_of(grams: np.ndarray) -> bytes:
-    """The name of a set of shingles (sorted hashes)."""
-    return hashlib.blake2b(grams.astype("<u8").tobytes(), digest_size=16).digest()
-
-
 def _shared(batches):
     """Of rows in the order of ``key`` those whose key others have too, with their number and hashes of the key's nodes."""
 
@@ -195,66 +203,105 @@ def _shared(batches):
         yield runs(*held)
 
 
-def classes(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """(doc_id, set, class_id, label) of every document: links are Jaccard ``threshold`` or more, ``label`` names the class."""
+def signed(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """Durable table of every document's (row, doc_id, tie, set, n, fingerprint); see ``compare_edits``."""
 
     def run(batches):
         for batch in base.text_steps(batches):
-            h, o = shingles_of(*base.flat(batch.column("text")), p.shingle)
-            sets = [np.unique(h[a:b]) for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
-            full = np.diff(o) > 0
-            keys = band_keys(signatures(h, o, p)[full], p)
-            ends = np.concatenate([[0], np.cumsum(full * p.bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()), pa.array([set_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))), batch.column("text"),
-            ], ["doc_id", "set", "n", "keys", "text"])
-
-    table = base.columns(docs, "doc_id", text="text").mapInArrow(run, "doc_id long, set binary, n long, keys array<long>, text string")
-    table = base.durable(table.withColumn("row", F.monotonically_increasing_id()), "minhash")
-    # equal sets are one node, named by the row that stands for all of them
+            found = shingles_of(*base.flat(batch.column("text")), p.shingle)
+            names, sizes = set_names(*found)
+            prints = [s.tobytes() for s in signatures(*found, p)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "tie", "set", "n", "fingerprint"])
+
+    table = base.tied(docs).mapInArrow(run, "doc_id long, tie long, set binary, n long, fingerprint binary")
+    return base.durable(table.withColumn("row", F.monotonically_increasing_id()), "minhash")
+
+
+def classes(docs: DataFrame, table: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """(doc_id, set, class_id, label) of every document: links are Jaccard ``threshold`` or more, ``label`` names the class.
+
+    ``table`` has a row (row, doc_id, tie, set, n, fingerprint) for each of ``docs``, as ``signed`` makes them.
+    """
+
+    def keyed(batches):
+        for batch in batches:
+            prints = base.flat(batch.column("fingerprint"))[0].view(np.uint16).reshape(-1, p.perms)
+            keys = band_keys(prints, p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), p.bands)) for c in ("node", "n")] + [pa.array(keys.ravel().view(np.int64))], ["node", "n", "key"])
+
+    # equal sets are one node, named by the row that stands for all of them; an empty one has no keys
     sets = base.durable(table.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("node")), "sets")
-    index = table.select(F.col("row").alias("node"), "n", "keys").join(sets.select("node").hint("merge"), "node").select("node", "n", F.explode("keys").alias("key"))
-    shared = base.durable(index.repartition(base.scan_parts(table), "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, c long, grams long, x long, y long"), "shared")
+    heads = table.filter("n > 0").select(F.col("row").alias("node"), "n", "fingerprint").join(sets.select("node").hint("merge"), "node")
+    index = heads.select("node", "n", "fingerprint").mapInArrow(keyed, "node long, n long, key long")
+    shared = base.durable(index.repartition(base.scan_parts(docs), "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, c long, grams long, x long, y long"), "shared", small=True)
     # keys over the same documents are compared once
     counts = shared.groupBy("key").agg(*(F.first(c).alias(c) for c in ("c", "grams", "x", "y"))).groupBy("c", "grams", "x", "y").agg(F.min("key").alias("key"))
     counts = counts.select("key", F.greatest(F.ceil(F.col("c") * 2 / BLOCK), F.ceil(F.col("grams") * 2 / GRAMS)).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = shared.select("key", "node").join(counts, "key").select("node", "key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))).alias("pair"))
-    # texts travel, not shingles, which are larger and do not compress
-    full = table.select(F.col("row").alias("node"), "text").join(dealt.hint("merge"), "node").select(F.xxhash64("key", "pair").alias("key"), "node", "text")
+    # texts travel, compressed, not shingles; of a doc_id with several texts the one whose set is asked for
+    asked = base.durable(dealt.join(table.select(F.col("row").alias("node"), "doc_id", "tie", "set"), "node").select(F.xxhash64("key", "pair").alias("key"), "node", F.col("doc_id").alias("d"), F.col("tie").alias("t"), "set"), "asked", small=True)
+    texts = texts_of(base.tied(docs), asked.select(F.xxhash64("d", "t").alias("h")))
+    full = texts.join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).select("key", "node", "set", "doc_id", "size", "z")
 
     def links(batches):
         now, nodes, held = None, [], []
 
         def close():
             a, b = jaccard_forest(nodes, held, p.threshold)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in base.text_steps(batches):
+        for batch in base.unpacked(batches, keep=("key", "node", "set")):
             h, o = shingles_of(*base.flat(batch.column("text")), p.shingle)
-            for k, node, i, j in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), o[:-1].tolist(), o[1:].tolist()):
+            for k, node, name, i, j in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "set")), o[:-1].tolist(), o[1:].tolist()):
                 if k != now:
                     if len(nodes) > 1:
                         yield close()
                     now, nodes, held = k, [], []
-                nodes.append(node)
-                held.append(np.unique(h[i:j]))
+                grams = np.unique(h[i:j])
+                # repeated rows come in a row, a text of the same hash has another set
+                if (not nodes or nodes[-1] != node) and set_of(grams) == name:
+                    nodes.append(node)
+                    held.append(grams)
         if len(nodes) > 1:
             yield close()
 
-    near = connected_components(full.repartition(base.scan_parts(table), "key").sortWithinPartitions("key").mapInArrow(links, "a long, b long"))
+    near = connected_components(full.repartition(base.scan_parts(docs), "key").sortWithinPartitions("key", "node").mapInArrow(links, "a long, b long"))
     named = sets.join(near, "node", "left").select("set", "least", F.coalesce("component", "node").alias("label"))
     heads = named.groupBy("label").agg(F.min("least").alias("class_id"))
     out = base.durable(table.select("doc_id", "set").join(named.join(heads, "label").select("set", "class_id", "label"), "set"), "classes")
-    for done in (table, sets, shared):
+    for done in (sets, shared, asked):
         base.drop_durable(done)
     return out
 
 
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, tie, size, z) of the rows (doc_id, tie, text) whose xxhash64(doc_id, tie) is in ``wanted`` (h), and of few
+    others: a bitmap of ``FILTER`` bits lets them through."""
+    bit = F.shiftrightunsigned("h", 64 - FILTER.bit_length() + 1)
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("x")).toArrow()
+    bitmap = np.zeros(FILTER // 64, np.uint64)
+    bitmap[words.column("w").to_numpy()] = words.column("x").to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        known, shift = shared.value, np.uint64(64 - FILTER.bit_length() + 1)
+        for batch in batches:
+            at = batch.column("h").to_numpy().view(np.uint64) >> shift
+            hit = known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield from base.pack_texts([batch.filter(pa.array(hit.astype(bool)))], ("doc_id", "tie"))
+        base.trim()
+
+    return rows.select("doc_id", "tie", F.xxhash64("doc_id", "tie").alias("h"), "text").mapInArrow(run, "doc_id long, tie long, size long, z binary")
+
+
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """(doc_id, class_id) of every document: the smallest doc_id reached by links of Jaccard ``threshold`` or more."""
-    return classes(docs, p).select("doc_id", "class_id")
+    table = signed(docs, p)
+    out = classes(docs, table, p).select("doc_id", "class_id")
+    base.drop_durable(table)
+    return out
 
 
 def one_of_each(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
@@ -264,9 +311,11 @@ def one_of_each(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """
 
     def names(column: pa.Array) -> pa.Array:
-        return pa.array(set_names(*shingles_of(*base.flat(column), p.shingle)), pa.binary())
+        return pa.array(set_names(*shingles_of(*base.flat(column), p.shingle))[0], pa.binary())
 
-    found = classes(docs, p).select("doc_id", F.col("set").alias("key"), F.col("class_id").alias("component_id"), "label")
+    table = signed(docs, p)
+    found = classes(docs, table, p).select("doc_id", F.col("set").alias("key"), F.col("class_id").alias("component_id"), "label")
+    base.drop_durable(table)
     return base.heads_of(docs, found, names, T.BinaryType())
 
 
@@ -274,7 +323,8 @@ def jaccard_forest(nodes: list[int], sets: list[np.ndarray], threshold: float) -
     """Links that connect what is connected by a Jaccard likeness of ``threshold`` or more."""
     size = np.array([len(s) for s in sets], np.int64)
     found, code = np.unique(np.concatenate(sets), return_inverse=True)
-    inside = np.zeros(len(found), bool)
+    inside, code = np.zeros(len(found), bool), code.astype(np.int32)
+    del found
     start = np.concatenate([[0], np.cumsum(size)])
     rest, flat, a, b = np.arange(len(sets)), code, [], []
     while len(rest):
@@ -299,6 +349,7 @@ def jaccard_forest(nodes: list[int], sets: list[np.ndarray], threshold: float) -
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = classes(docs).select(F.col("doc_id").alias("d"), F.col("set").alias("s"), "class_id").distinct()
-    out = compare_edits(docs).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("set") == F.col("s")))
+    compared = compare_edits(docs)
+    found = classes(docs, compared).select(F.col("doc_id").alias("d"), F.col("set").alias("s"), "class_id").distinct()
+    out = compared.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("set") == F.col("s")))
     return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

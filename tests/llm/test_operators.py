@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from cairn.llm import audio, chat, minhash, mixing, quality, sharding
 
@@ -406,7 +407,7 @@ def test_minhash_odd_rows(spark):
     got = minhash.compare_edits(table).collect()
     assert sorted((r.doc_id or -1, r.n_chars) for r in got) == sorted((d or -1, len(t or "")) for d, t in rows)
     # descending ids, nulls last, the first after the last; rows of one id by a hash of their texts
-    key = lambda r: (r[0] is None, -(r[0] or 0), int.from_bytes(hashlib.sha256((r[1] or "").encode()).digest()[:8], "big", signed=True))
+    key = lambda r: (r[0] is None, -(r[0] or 0), np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64))
     line = sorted(rows, key=key)
     want = []
     for (d, t), (_, after) in zip(line, line[1:] + line[:1]):
