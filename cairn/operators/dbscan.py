@@ -7,55 +7,136 @@ components of core points. A border point goes to the cluster of its lowest core
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import finite, in_box, within
-from cairn.operators.components import connected_components
+from cairn.operators.components import SMALL, connected_components
 from cairn.operators.neighbors import FAR, SLACK, cell, eps_neighbors, join_near, valid
+from cairn.operators.partition import rank_by
 from cairn.operators.points import axes, check
-from cairn.operators.small import in_one_task
-from cairn.plans.durable import durable
+from cairn.operators.small import TILED, by_tile
+from cairn.plans.durable import durable, scan_parts
 
-#: Points that one task may cluster alone (see :mod:`cairn.operators.small`).
-SMALL_POINTS = 1 << 17
-
-
-@dataclass(frozen=True)
-class DbscanParams:
-    eps: float
-    min_pts: int = 5
+#: Points that a tile has at most, but for the smallest tiles, of two eps; these may have up to ``HOT``.
+TILE, HOT = 1 << 15, 1 << 18
 
 
 def dense_relabel(members: DataFrame, label: str = "component") -> DataFrame:
-    """(id, label) numbered from 0 by smallest member: a window over one row a cluster, never over points."""
+    """(id, label) numbered from 0 by smallest member, by ranges of one row a cluster."""
     firsts = members.groupBy(label).agg(F.min("id").alias("first"))
-    ranks = firsts.select(F.col(label).alias("l"), (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("label"))
+    ranks = rank_by(firsts, ["first"], "rank").select(F.col(label).alias("l"), F.col("rank").cast("long").alias("label"))
     return members.join(ranks, F.col(label) == F.col("l")).select("id", "label")
 
 
-def dbscan(pts: DataFrame, eps: float, min_pts: int = 5, small: int = SMALL_POINTS) -> DataFrame:
+def dbscan(pts: DataFrame, eps: float, min_pts: int = 5, tile: int = TILE, small: int = SMALL) -> DataFrame:
     """(id, label, is_core) of every point. Points with a coordinate that is not finite are noise (core by themselves
     where ``min_pts`` is zero or less, as they have no neighbours).
 
-    In few dimensions one task clusters the points once a count shows at most ``small`` of them, within the range in which
-    cells are sure. The result is the same either way."""
+    In few dimensions points are dealt to square tiles of about ``tile`` points, with those around them, and clustered
+    tile by tile; see ``_tiled``. Where points are so dense that even the smallest tiles would not fit a task, and in many
+    dimensions, clusters come from joins; ``tile`` 0 asks for that. Components of at most ``small`` edges finish in one
+    task. The result is the same whatever the way.
+    """
     check(pts, eps)
-    if axes(pts) and _fits(pts, eps, small):
-        lean = pts.select("id", *axes(pts)).repartition(1)
-        return lean.mapInArrow(in_one_task(eps, min_pts, SLACK, len(axes(pts))), "id long, label long, is_core boolean")
-    members = _few(pts, eps, min_pts) if axes(pts) else _many(pts, eps, min_pts)
-    if min_pts <= 0:
-        alone = pts.select("id").join(members.select(F.col("id").alias("m")), F.col("id") == F.col("m"), "left_anti")
-        members = members.union(alone.select("id", F.lit(True), "id"))
-    firsts = members.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("first"))
-    ranks = firsts.select("c", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("label"))
-    found = members.join(ranks, F.col("component") == F.col("c")).select(F.col("id").alias("m"), "label", "is_core")
-    return pts.select("id").join(found, F.col("id") == F.col("m"), "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    if axes(pts) and eps > 0 and tile > 0 and (plan := _tiles(pts, eps, tile)):
+        rows, links = _tiled(pts, eps, min_pts, *plan)
+    else:
+        members = _few(pts, eps, min_pts, small) if axes(pts) else _many(pts, eps, min_pts, small)
+        lost = pts.select("id").join(members.select(F.col("id").alias("m")), F.col("id") == F.col("m"), "left_anti")
+        rows, links = members.select("id", "is_core", F.col("component").alias("name")).unionByName(_alone(lost, min_pts)), None
+    firsts = rows.filter("name is not null").groupBy("name").agg(F.min("id").alias("first"))
+    if links is not None:
+        found = connected_components(links, small)
+        firsts = firsts.join(found, F.col("name") == F.col("node"), "left").select("name", F.coalesce("component", "name").alias("component"), "first")
+    else:
+        firsts = firsts.withColumn("component", F.col("name"))
+    firsts = durable(firsts, "firsts", small=True)
+    ranks = rank_by(firsts.groupBy("component").agg(F.min("first").alias("least")), ["least"], "rank")
+    labels = firsts.select(F.col("name").alias("n"), F.col("component").alias("c")).join(ranks, F.col("c") == F.col("component")).select("n", F.col("rank").cast("long").alias("label"))
+    return rows.join(labels, F.col("name") == F.col("n"), "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), "is_core")
+
+
+def _alone(ids: DataFrame, min_pts: int) -> DataFrame:
+    """Rows of points without neighbours."""
+    core = min_pts <= 0
+    return ids.select("id", F.lit(core).alias("is_core"), (F.col("id") if core else F.lit(None).cast("long")).alias("name"))
+
+
+def _tiles(pts: DataFrame, eps: float, tile: int) -> tuple[list[float], list[int], float] | None:
+    """Origin, greatest tile numbers and side of the tiles: the largest of sides ``_base(eps)``, twice, four times it and
+    so on whose tiles hold at most ``tile`` points, else the smallest. None where even these hold over ``HOT``, or beyond
+    the range in which cells are sure."""
+    names = axes(pts)
+    good = valid(pts)
+    d, base = len(names), _base(eps)
+    size = good.agg(F.count("*").alias("n"), *(f(c).alias(f"{t}_{c}") for c in names for t, f in (("min", F.min), ("max", F.max)))).first()
+    if not size.n:
+        return [0.0] * d, [0] * d, base
+    low, high = [size[f"min_{c}"] for c in names], [size[f"max_{c}"] for c in names]
+    if max(map(abs, low + high)) >= _side(eps, d) * FAR:
+        return None
+    top = max(1, *(int((h - lo) / base) + 1 for lo, h in zip(low, high))).bit_length()
+    found = top if size.n <= tile else None
+    while found is None:
+        # eight levels at a time, from counts by cells of the finest of them
+        least = max(0, top - 8)
+        grid = [F.floor((F.col(c) - F.lit(lo)) / F.lit(base * 2**least)) for c, lo in zip(names, low)]
+        cells = good.groupBy(*(g.alias(f"g{k}") for k, g in enumerate(grid))).agg(F.count("*").alias("n"))
+        levels = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top - least - 1))))
+        up = levels.groupBy("level", *(F.expr(f"shiftright(g{k}, level)").alias(f"g{k}") for k in range(d))).agg(F.sum("n").alias("n"))
+        most = {r.level + least: r.n for r in up.groupBy("level").agg(F.max("n").alias("n")).collect()}
+        fits = [k for k, n in most.items() if n <= tile]
+        if fits:
+            found = max(fits)
+        elif least == 0:
+            if most[0] > HOT:
+                return None
+            found = 0
+        top = least
+    side = base * 2**found
+    return low, [int((h - lo) // side) for lo, h in zip(low, high)], side
+
+
+def _base(eps: float) -> float:
+    """The side of the smallest tiles: a point within 2 eps of a tile is in it or in one beside it."""
+    return 2 * eps * (1 + 8 * SLACK)
+
+
+def _tiled(pts: DataFrame, eps: float, min_pts: int, low: list[float], last: list[int], side: float) -> tuple[DataFrame, DataFrame]:
+    """(id, is_core, name) of all points and (name, id) links between names, by tiles that overlap.
+
+    A tile gets its own points and those within 2 eps of it, so whatever lies within eps of it has all its neighbours
+    there: the core flags of its own points are right, and so are their links and the lowest core neighbours of its border
+    points. Further out a flag may be missing, never wrong. Clusters that share a core point are one, whose id links them.
+    """
+    names = axes(pts)
+    d = len(names)
+    reach, edge = 2 * eps * (1 + 2 * SLACK) / side, eps * (1 + 2 * SLACK) / side
+    good = valid(pts).select("id", *names, *(((F.col(c) - F.lit(lo)) / F.lit(side)).alias(f"v{k}") for k, (c, lo) in enumerate(zip(names, low))))
+    good = good.select("id", *names, *(F.floor(f"v{k}").alias(f"t{k}") for k in range(d)), *((F.col(f"v{k}") - F.floor(f"v{k}")).alias(f"v{k}") for k in range(d)))
+    within_ = lambda by: lambda k, s: {-1: f"v{k} <= {by!r}D", 0: "true", 1: f"1 - v{k} <= {by!r}D"}[s]
+    on_edge = " OR ".join(f"v{k} <= {edge!r}D OR 1 - v{k} <= {edge!r}D" for k in range(d))
+    moves = []
+    for step in product((-1, 0, 1), repeat=d):
+        place = ", ".join(f"t{k} + {s}L AS t{k}" for k, s in enumerate(step))
+        near, close = (" AND ".join(within_(by)(k, s) for k, s in enumerate(step)) for by in (reach, edge))
+        exists = " AND ".join(f"t{k} + {s}L BETWEEN 0 AND {n}L" for k, (s, n) in enumerate(zip(step, last)))
+        moves.append(f"IF({near} AND {exists}, struct({not any(step)} AS home, {close if any(step) else on_edge} AS shared, {place}), null)")
+    tiles = [f"t{k}" for k in range(d)]
+    dealt = good.withColumn("at", F.explode(F.expr(f"filter(array({', '.join(moves)}), m -> m is not null)"))).select("at.home", "at.shared", "id", *names, *(f"at.{t}" for t in tiles))
+    local = dealt.repartition(scan_parts(pts), *tiles).sortWithinPartitions(*tiles).mapInArrow(by_tile(eps, min_pts, SLACK, d), TILED)
+    local = durable(local, "tiled")
+    bad = pts.filter(~F.coalesce(_finite(names), F.lit(False)))
+    rows = local.filter("kind = 0").select("id", "is_core", "name").unionByName(_alone(bad.select("id"), min_pts))
+    return rows, local.filter("kind = 1").select("name", "id")
+
+
+def _finite(names: list[str]):
+    return reduce(lambda s, t: s & t, (finite(F.col(c)) for c in names))
 
 
 def _side(eps: float, d: int) -> float:
@@ -63,14 +144,7 @@ def _side(eps: float, d: int) -> float:
     return eps / d**0.5 * (1 - SLACK)
 
 
-def _fits(pts: DataFrame, eps: float, small: int) -> bool:
-    names = axes(pts)
-    far = F.greatest(F.lit(0.0), *(F.max(F.when(finite(F.col(c)), F.abs(c))) for c in names))
-    size = pts.agg(F.count("*").alias("n"), far.alias("far")).first()
-    return size.n <= small and (eps == 0 or size.far < _side(eps, len(names)) * FAR)
-
-
-def _few(pts: DataFrame, eps: float, min_pts: int) -> DataFrame:
+def _few(pts: DataFrame, eps: float, min_pts: int, small: int = SMALL) -> DataFrame:
     """(id, is_core, component) of clustered points, by fine cells of side eps / sqrt(d).
 
     Points of one fine cell are neighbours. A cell of ``min_pts`` points is all core, so neighbours are counted for the
@@ -96,14 +170,14 @@ def _few(pts: DataFrame, eps: float, min_pts: int) -> DataFrame:
     counts = join_near(few, celled.select("id", *names), eps).groupBy(F.col("id").alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_pts)
     flagged = durable(celled.join(counts, F.col("id") == F.col("c"), "left").select("id", *names, *grid, "hub", (F.col("dense") | F.col("c").isNotNull()).alias("is_core")), "flagged")
     core = flagged.filter("is_core")
-    comps = _cell_components(core, names, grid, eps)
+    comps = _cell_components(core, names, grid, eps, small)
     cores = core.join(comps, F.col("hub") == F.col("node"), "left").select("id", F.lit(True).alias("is_core"), F.coalesce("component", "hub").alias("component"))
     lowest = join_near(flagged.filter("not is_core").select("id", *names), core.select("id", "hub", *names), eps).groupBy("id").agg(F.min(F.struct("n_id", "n_hub")).alias("low"))
     border = lowest.join(comps, F.col("low.n_hub") == F.col("node"), "left").select("id", F.lit(False).alias("is_core"), F.coalesce("component", "low.n_hub").alias("component"))
     return durable(cores.union(border), "members")
 
 
-def _cell_components(core: DataFrame, names: list[str], grid: list[str], eps: float) -> DataFrame:
+def _cell_components(core: DataFrame, names: list[str], grid: list[str], eps: float, small: int) -> DataFrame:
     """(node, component) of the fine cells, named by ``hub``, that are linked to another by two core points."""
     d = len(names)
     # the outermost points of a cell on each axis
@@ -123,7 +197,7 @@ def _cell_components(core: DataFrame, names: list[str], grid: list[str], eps: fl
     linked = F.expr(f"least({', '.join(squares)})") <= F.lit(eps * eps)
     edges = [F.expr(f"{n}{t}.{t[4:]} AS {n}{t}") for n in ("", "n_") for t in tips]
     pairs = durable(cells.withColumn("at", F.explode(around)).join(other, on).filter(close).select("hub", "n_hub", linked.alias("linked"), *edges), "pairs")
-    first = durable(connected_components(pairs.filter("linked").select("hub", "n_hub")), "components")
+    first = durable(connected_components(pairs.filter("linked").select("hub", "n_hub"), small), "components")
     left, right = (first.select(F.col("node").alias(f"{n}node"), F.col("component").alias(f"{n}to")) for n in ("a_", "b_"))
     open_ = pairs.filter("not linked").join(left, F.col("hub") == F.col("a_node"), "left").join(right, F.col("n_hub") == F.col("b_node"), "left")
     open_ = open_.select("*", F.coalesce("a_to", "hub").alias("a"), F.coalesce("b_to", "n_hub").alias("b")).filter("a <> b")
@@ -136,18 +210,18 @@ def _cell_components(core: DataFrame, names: list[str], grid: list[str], eps: fl
     more = durable(from_here.join(theirs, (F.col("n_hub") == F.col("q_hub")) & facing("q", "") & near).select("a", "b").distinct(), "more")
     if more.isEmpty():
         return first
-    second = connected_components(more).select(F.col("node").alias("s"), F.col("component").alias("final"))
+    second = connected_components(more, small).select(F.col("node").alias("s"), F.col("component").alias("final"))
     # cells that only the second round linked are nodes of their own there
     named = first.union(more.select("a", "a").union(more.select("b", "b")).distinct().join(first, F.col("a") == F.col("node"), "left_anti"))
     return durable(named.join(second, F.col("component") == F.col("s"), "left").select("node", F.coalesce("final", "component").alias("component")), "components")
 
 
-def _many(pts: DataFrame, eps: float, min_pts: int) -> DataFrame:
+def _many(pts: DataFrame, eps: float, min_pts: int, small: int = SMALL) -> DataFrame:
     edges = durable(eps_neighbors(pts, eps), "edges")
     counts = edges.groupBy("src").agg(F.count("*").alias("n"))
     core = durable(counts.filter(F.col("n") >= min_pts).select(F.col("src").alias("id")), "core")
     inner = edges.filter("src < dst").join(core, F.col("src") == F.col("id"), "left_semi").join(core, F.col("dst") == F.col("id"), "left_semi")
-    comps = connected_components(inner.select("dst", "src"))
+    comps = connected_components(inner.select("dst", "src"), small)
     cores = core.join(comps, F.col("id") == F.col("node"), "left").select("id", F.lit(True).alias("is_core"), F.coalesce("component", "id").alias("component"))
     cores = durable(cores, "cores")
     lowest = edges.join(core, F.col("src") == F.col("id"), "left_semi").join(core, F.col("dst") == F.col("id"), "left_anti").groupBy("dst").agg(F.min("src").alias("src"))

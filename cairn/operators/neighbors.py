@@ -2,7 +2,8 @@
 
 Few dimensions: a grid of cells slightly wider than eps. One side looks into its own and the adjacent cells, so the
 theta join becomes an equi-join on the cell (split by AQE where a cell is dense) with the exact distance as residual.
-Many dimensions: a grid does not cut anything, so all points meet in blocks of bounded size, in numpy.
+Many dimensions: the same grid over the ``GRID`` axes on which the points spread widest; the points of two adjacent cells
+meet in blocks of bounded size, in numpy, by their exact distance. Where no axis is wider than eps this is all pairs.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions.geometry import dist2, finite
 from cairn.operators.points import axes, check
-from cairn.plans.durable import scan_parts
+from cairn.plans.durable import durable, scan_parts
 
-#: Points in a block of the many-dimensional join.
-BLOCK = 1024
+#: Points in a block of the many-dimensional join, and the axes of its grid.
+BLOCK, GRID = 1024, 3
 #: Cells are wider than eps by so much that rounding in x / width cannot part neighbours by two cells.
 SLACK = 1e-3
 #: Coordinates of so many cells and more share the outermost cell; below, x / width is off by far less than SLACK.
@@ -71,47 +72,71 @@ def eps_neighbors(pts: DataFrame, eps: float) -> DataFrame:
     return _blocks(good, eps)
 
 
+def _widest(good: DataFrame, most: int) -> list[int]:
+    """The axes of ``coords`` on which the points spread widest, ``most`` of them."""
+    spread = good.select(F.posexplode("coords").alias("k", "v")).groupBy("k").agg((F.max("v") - F.min("v")).alias("width"))
+    return sorted(r.k for r in spread.orderBy(F.desc("width"), "k").limit(most).collect())
+
+
 def _blocks(good: DataFrame, eps: float) -> DataFrame:
-    n = good.count()
-    blocks = max(1, -(-n // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o.cast("long"), own).alias("p"), F.greatest(o.cast("long"), own).alias("q")))
-    dealt = good.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("pair.p", "pair.q", "own", "id", "coords")
+    axes_ = _widest(good, GRID)
+    if not axes_:  # no points
+        return good.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    width = eps * (1 + SLACK) or 1.0
+    grid = [f"g{k}" for k in range(len(axes_))]
+    celled = good.select("id", "coords", *(cell(F.get("coords", F.lit(k)), width).alias(g) for k, g in zip(axes_, grid)))
+    sizes = celled.groupBy(*grid).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # every pair of adjacent cells once, each with itself included: half of the steps
+    steps = [s for s in product((-1, 0, 1), repeat=len(grid)) if s >= (0,) * len(grid)]
+    around = F.array(*(F.struct(*((F.col(g) + F.lit(k)).alias(f"n_{g}") for g, k in zip(grid, s)), F.lit(any(s)).alias("apart")) for s in steps))
+    other = sizes.select(*(F.col(g).alias(f"o_{g}") for g in grid), F.col("blocks").alias("n_blocks"))
+    on = [F.col(f"at.n_{g}") == F.col(f"o_{g}") for g in grid]
+    pairs = sizes.withColumn("at", F.explode(around)).join(other, on)
+    pairs = durable(pairs.select(*grid, *(f"o_{g}" for g in grid), "blocks", "n_blocks", "at.apart", F.monotonically_increasing_id().alias("pair")), "pairs")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # a point of the first cell goes to every block of the second, and the other way round; within a cell to pairs of blocks
+    left = celled.join(pairs, grid).select("pair", own("blocks").alias("p"), F.explode(F.when(F.col("apart"), all_of("n_blocks")).otherwise(all_of("blocks"))).alias("q"), "apart", "id", "coords")
+    left = left.select("pair", F.when(F.col("apart"), F.col("p")).otherwise(F.least("p", "q")).alias("i"), F.when(F.col("apart"), F.col("q")).otherwise(F.greatest("p", "q")).alias("j"), F.when(F.col("apart"), F.lit(True)).otherwise(F.col("p") <= F.col("q")).alias("first"), F.when(F.col("apart"), F.lit(False)).otherwise(F.col("p") >= F.col("q")).alias("second"), "id", "coords")
+    right = celled.join(pairs.filter("apart").drop(*grid), [F.col(g) == F.col(f"o_{g}") for g in grid]).select("pair", F.explode(all_of("blocks")).alias("i"), own("n_blocks").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"), "id", "coords")
+    dealt = left.unionByName(right)
 
     def close(group):
-        own, ids, x = (np.concatenate(c) for c in zip(*group[1]))
-        p, q = group[0]
-        a, b = own == p, own == q
-        xa, xb, total = x[a], x[b], np.zeros((a.sum(), b.sum()))
+        first, second, ids, x = (np.concatenate(c) for c in zip(*group[1]))
+        same = (first & second).all()
+        xa, xb, total = x[first], x[second], np.zeros((first.sum(), second.sum()))
         for k in range(x.shape[1]):
             d = xa[:, k, None] - xb[None, :, k]
             total += d * d
         i, j = np.nonzero(total <= eps * eps)
-        src, dst = ids[a][i], ids[b][j]
-        if p != q:
+        src, dst = ids[first][i], ids[second][j]
+        if not same:
             src, dst = np.concatenate([src, dst]), np.concatenate([dst, src])
         return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
     def run(batches):
         held = None
         for b in batches:
-            p, q, own, ids = (b.column(c).to_numpy() for c in ("p", "q", "own", "id"))
+            pair, p, q, first, second, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "i", "j", "first", "second", "id"))
+            if not len(ids):
+                continue
             lists = b.column("coords")
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             if len(flat) % len(ids) or len(np.unique(np.diff(np.asarray(lists.offsets)))) > 1:
                 raise ValueError("points of different dimensions")
             x = flat.reshape(len(ids), -1)
-            heads = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+            heads = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
             for s, e in zip(heads, [*heads[1:], len(ids)]):
-                if held is None or held[0] != (p[s], q[s]):
+                if held is None or held[0] != (pair[s], p[s], q[s]):
                     if held:
                         yield close(held)
-                    held = ((p[s], q[s]), [])
-                held[1].append((own[s:e], ids[s:e], x[s:e]))
+                    held = ((pair[s], p[s], q[s]), [])
+                held[1].append((first[s:e], second[s:e], ids[s:e], x[s:e]))
         if held:
             yield close(held)
 
-    return dealt.repartition(scan_parts(good), "p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "src long, dst long")
+    key = ["pair", "i", "j"]
+    return dealt.repartition(scan_parts(good), *key).sortWithinPartitions(*key).select(*key, "first", "second", "id", "coords").mapInArrow(run, "src long, dst long")
 
 
 def neighbor_counts(pts: DataFrame, eps: float) -> DataFrame:

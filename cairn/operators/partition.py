@@ -17,7 +17,7 @@ def rank_by(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     bases = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__in", inner).join(F.broadcast(bases), F.col("__part") == F.col("__p")).withColumn(out, F.col("__base") + F.col("__in")).drop("__part", "__p", "__base", "__in")
+    return dealt.withColumn("__in", inner).join(bases, F.col("__part") == F.col("__p")).withColumn(out, F.col("__base") + F.col("__in")).drop("__part", "__p", "__base", "__in")
 
 
 def block_partition(df: DataFrame, parts: int, order: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Density clustering of few points in one task, in numpy: the same cells as the distributed form, without its shuffles."""
+"""Density clustering of tiles in numpy, by the same cells as the form by joins."""
 
 from __future__ import annotations
 
@@ -84,21 +84,21 @@ def _hits(left: _Cells, a: np.ndarray, right: _Cells, b: np.ndarray, eps: float,
             yield number[step][row[near]], own[near], q[near]
 
 
-def _adjacent(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cell of every point, and all pairs of cells within two steps on every axis, each with itself included."""
+def _adjacent(grid: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell of every point, and all pairs of cells of a group within two steps on every axis, each with itself included."""
     levels = [np.unique(g) for g in grid]
 
-    def keys(at: np.ndarray) -> np.ndarray:
-        key = np.zeros(at.shape[1], np.int64)
+    def keys(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        key = own
         for g, level in zip(at, levels):
             rank = np.minimum(np.searchsorted(level, g), len(level) - 1)
             key = np.where((key < 0) | (level[rank] != g), -1, key * len(level) + rank)
         return key
 
-    cells, first, code = np.unique(keys(grid), return_index=True, return_inverse=True)
+    cells, first, code = np.unique(keys(group, grid), return_index=True, return_inverse=True)
     a, b = [], []
     for step in product((-2, -1, 0, 1, 2), repeat=len(grid)):
-        want = keys(grid[:, first] + np.array(step)[:, None])
+        want = keys(group[first], grid[:, first] + np.array(step)[:, None])
         at = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
         found = np.flatnonzero(cells[at] == want)
         a.append(found)
@@ -106,14 +106,15 @@ def _adjacent(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, np.concatenate(a), np.concatenate(b)
 
 
-def _components(x: np.ndarray, eps: float, min_pts: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Component of each point (-1: noise) and whether it is core. Points are in the order of their ids."""
+def components(x: np.ndarray, eps: float, min_pts: int, slack: float, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Component of each point (-1: noise) and whether it is core. Points are in the order of their ids; those of
+    different groups are no neighbours."""
     n, most = x.shape[1], eps * eps * (1 + slack)
     if eps == 0:
         _, code = np.unique(x + 0.0, axis=1, return_inverse=True)  # -0.0 is 0.0
         core = np.bincount(code.ravel())[code.ravel()] >= min_pts
         return np.where(core, code.ravel(), -1), core
-    code, a, b = _adjacent(np.floor(x / (eps / len(x) ** 0.5 * (1 - slack))).astype(np.int64))
+    code, a, b = _adjacent(np.floor(x / (eps / len(x) ** 0.5 * (1 - slack))).astype(np.int64), np.zeros(n, np.int64) if group is None else group)
     m = int(code.max()) + 1
     dense = np.bincount(code) >= min_pts
     every = _Cells(x, code, m, np.ones(n, bool))
@@ -162,7 +163,7 @@ def cluster(ids: np.ndarray, x: np.ndarray, eps: float, min_pts: int, slack: flo
     if min_pts <= 0:
         comp = len(ids) + np.arange(len(ids))
     if good.any():
-        comp[good], core[good] = _components(x[:, good], eps, min_pts, slack)
+        comp[good], core[good] = components(x[:, good], eps, min_pts, slack)
     taken = comp >= 0
     _, first, which = np.unique(comp[taken], return_index=True, return_inverse=True)
     rank = np.empty(len(first), np.int64)
@@ -173,14 +174,59 @@ def cluster(ids: np.ndarray, x: np.ndarray, eps: float, min_pts: int, slack: flo
     return label, flag
 
 
-def in_one_task(eps: float, min_pts: int, slack: float, d: int):
-    """For ``mapInArrow`` over (id, x0, x1, ...): (id, label, is_core) of all rows of the task."""
+#: Points that are clustered at once, in one tile or several.
+BATCH = 1 << 16
+TILED = "kind int, id long, is_core boolean, name long"
+
+
+def by_tile(eps: float, min_pts: int, slack: float, d: int):
+    """For ``mapInArrow`` over (home, shared, id, x0, ..., t0, ...) in the order of the tiles t0, ...: rows of ``TILED``.
+
+    Kind 0 is a home point with its cluster's name, the least id of a core point that the tile links to it (null: noise).
+    Kind 1 says that the shared core point ``id`` belongs to the cluster ``name``.
+    """
+
+    def clustered(parts):
+        home, shared, ids, group = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 4))
+        x = np.concatenate([p[3] for p in parts], axis=1)
+        # tiles without points of their own have nothing to say
+        own = np.zeros(int(group.max()) + 1, bool)
+        own[group[home]] = True
+        keep = np.flatnonzero(own[group])
+        keep = keep[np.argsort(ids[keep], kind="stable")]
+        home, shared, ids, group, x = home[keep], shared[keep], ids[keep], group[keep], x[:, keep]
+        if not len(ids):
+            return
+        comp, core = components(x, eps, min_pts, slack, group)
+        # the first core point of a component names it; only cores have components of their own
+        some = np.flatnonzero(core)
+        names, first = np.unique(comp[some], return_index=True)
+        name = ids[some][first][np.minimum(np.searchsorted(names, comp), len(names) - 1)] if len(names) else np.zeros(len(ids), np.int64)
+        link = shared & core & (name != ids)
+        column = lambda f: pa.array(np.concatenate([f[home], f[link]]))
+        kind = np.concatenate([np.zeros(int(home.sum()), np.int32), np.ones(int(link.sum()), np.int32)])
+        mask = np.concatenate([comp[home] < 0, np.zeros(int(link.sum()), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), column(ids), column(core), pa.array(np.concatenate([name[home], name[link]]), mask=mask)], ["kind", "id", "is_core", "name"])
 
     def run(batches):
-        parts = [[np.asarray(c.to_numpy(zero_copy_only=False)) for c in b.columns] for b in batches]
-        if parts:
-            ids, *x = (np.concatenate(c) for c in zip(*parts))
-            label, core = cluster(ids, np.array(x, dtype=float).reshape(d, -1), eps, min_pts, slack)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label), pa.array(core)], ["id", "label", "is_core"])
+        held, size, last, number = [], 0, None, -1
+        for b in batches:
+            home, shared, ids, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(ids):
+                continue
+            x, tile = np.array(rest[:d], float), np.array(rest[d:], np.int64)
+            edges = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
+            for start, stop in zip(edges, edges[1:]):
+                if last is None or start or (tile[:, 0] != last).any():
+                    # another tile: those before it are whole
+                    if size >= BATCH:
+                        yield from clustered(held)
+                        held, size, number = [], 0, -1
+                    number += 1
+                held.append((home[start:stop], shared[start:stop], ids[start:stop], x[:, start:stop], np.full(stop - start, number)))
+                size += stop - start
+            last = tile[:, -1]
+        if held:
+            yield from clustered(held)
 
     return run

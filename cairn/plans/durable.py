@@ -16,15 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written.
+def durable(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of what was written; ``small`` results of many tasks in few files.
 
     A lost executor then costs the reading tasks only, and the scan has true size statistics, where the estimates of a
     plan that grows round by round would run away.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

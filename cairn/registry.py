@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.operators import metrics, partition
-from cairn.operators.components import connected_components
-from cairn.operators.dbscan import SMALL_POINTS, dbscan, dense_relabel, remap_apply
+from cairn.operators.components import SMALL, connected_components
+from cairn.operators.dbscan import TILE, dbscan, dense_relabel, remap_apply
 from cairn.operators.neighbors import border_assignment, border_edges, core_edges, core_points, eps_neighbors, neighbor_counts
 from cairn.operators.points import points
 from cairn.plans.durable import durable
@@ -42,8 +42,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
 
 
-def q_dbscan(spark, sf_dir, name, eps=None, small=SMALL_POINTS):
-    return dbscan(read(spark, sf_dir, name), eps or EPS[name], MIN_PTS, small)
+def q_dbscan(spark, sf_dir, name, eps=None, tile=TILE, small=SMALL):
+    return dbscan(read(spark, sf_dir, name), eps or EPS[name], MIN_PTS, tile, small)
 
 
 def _edges_and_core(spark, sf_dir, name="customer"):
@@ -118,8 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "border_assignment": edges(border_assignment),
         "components": q_components,
         **{f"dbscan_{n}": partial(q_dbscan, name=n) for n in ("customer", "part", "events", "orders", "supplier")},
-        # the distributed form, whatever the size
-        **{f"dbscan_{n}_distributed": partial(q_dbscan, name=n, small=0) for n in ("customer", "part", "events")},
+        # many tiles and rounds of stars at any size, and the form by joins
+        **{f"dbscan_{n}_distributed": partial(q_dbscan, name=n, tile=200, small=0) for n in ("customer", "part", "events", "orders")},
+        **{f"dbscan_{n}_joined": partial(q_dbscan, name=n, tile=0, small=0) for n in ("customer", "orders")},
         "dbscan_embeddings_2d": partial(q_dbscan, name="embeddings"),
         "dbscan_embeddings_64d": lambda s, d: dbscan(vectors(s, d), EPS_64, MIN_PTS),
         "cluster_summary": lambda s, d: metrics.summary(_labels(s, d)),
@@ -209,7 +210,8 @@ def oracle_sql() -> dict[str, str]:
         "border_assignment": f"{c} SELECT id, c AS core_id FROM bord",
         "components": f"{c} SELECT id, lbl AS component FROM cc",
         **{f"dbscan_{n}": f"{_clusters(n)} SELECT id, label, is_core FROM lab" for n in ("customer", "part", "events", "orders", "supplier")},
-        **{f"dbscan_{n}_distributed": f"{_clusters(n)} SELECT id, label, is_core FROM lab" for n in ("customer", "part", "events")},
+        **{f"dbscan_{n}_distributed": f"{_clusters(n)} SELECT id, label, is_core FROM lab" for n in ("customer", "part", "events", "orders")},
+        **{f"dbscan_{n}_joined": f"{_clusters(n)} SELECT id, label, is_core FROM lab" for n in ("customer", "orders")},
         "dbscan_embeddings_2d": f"{_clusters('embeddings')} SELECT id, label, is_core FROM lab",
         "dbscan_embeddings_64d": f"{e64} SELECT id, label, is_core FROM lab",
         "cluster_summary": f"{c} SELECT count(*) AS n_points, coalesce(max(label), -1) + 1 AS n_clusters, count(*) FILTER (WHERE label < 0) AS n_noise FROM lab",
