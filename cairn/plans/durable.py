@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own: in the warehouse, which all nodes share, or for a
+    session on one machine a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        one = spark.sparkContext.master.startswith("local")
+        folder = tempfile.gettempdir() if one else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{folder}/checkpoints")
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
