@@ -13,10 +13,6 @@ def dist2(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda s, t: s + t, ((p - q) * (p - q) for p, q in zip(a, b)))
 
 
-def dist2_arrays(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-
-
 def within(a: list[Column], b: list[Column], eps: float) -> Column:
     """Radius predicate, inclusive, on squares: no root."""
     return dist2(a, b) <= F.lit(eps * eps)

@@ -7,6 +7,7 @@ components of core points. A border point goes to the cluster of its lowest core
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 from itertools import product
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.geometry import finite, in_box, within
 from cairn.operators.components import SMALL, connected_components
+from cairn.operators.metrics import adjusted_rand_index, summary
 from cairn.operators.neighbors import FAR, SLACK, cell, eps_neighbors, join_near, valid
 from cairn.operators.partition import rank_by
 from cairn.operators.points import axes, check
@@ -43,7 +45,9 @@ def dbscan(pts: DataFrame, eps: float, min_pts: int = 5, tile: int = TILE, small
     """
     check(pts, eps)
     if axes(pts) and eps > 0 and tile > 0 and (plan := _tiles(pts, eps, tile)):
-        rows, links = _tiled(pts, eps, min_pts, *plan)
+        local = _tiled(pts, eps, min_pts, *plan)
+        bad = pts.filter(~F.coalesce(reduce(lambda s, t: s & t, (finite(F.col(c)) for c in axes(pts))), F.lit(False)))
+        rows, links = local.filter("kind = 0").select("id", "is_core", "name").unionByName(_alone(bad.select("id"), min_pts)), local.filter("kind = 1").select("name", "id")
     else:
         members = _few(pts, eps, min_pts, small) if axes(pts) else _many(pts, eps, min_pts, small)
         lost = pts.select("id").join(members.select(F.col("id").alias("m")), F.col("id") == F.col("m"), "left_anti")
@@ -106,8 +110,8 @@ def _base(eps: float) -> float:
     return 2 * eps * (1 + 8 * SLACK)
 
 
-def _tiled(pts: DataFrame, eps: float, min_pts: int, low: list[float], last: list[int], side: float) -> tuple[DataFrame, DataFrame]:
-    """(id, is_core, name) of all points and (name, id) links between names, by tiles that overlap.
+def _tiled(pts: DataFrame, eps: float, min_pts: int, low: list[float], last: list[int], side: float) -> DataFrame:
+    """Durable table of what ``by_tile`` finds, by tiles that overlap.
 
     A tile gets its own points and those within 2 eps of it, so whatever lies within eps of it has all its neighbours
     there: the core flags of its own points are right, and so are their links and the lowest core neighbours of its border
@@ -129,14 +133,34 @@ def _tiled(pts: DataFrame, eps: float, min_pts: int, low: list[float], last: lis
     tiles = [f"t{k}" for k in range(d)]
     dealt = good.withColumn("at", F.explode(F.expr(f"filter(array({', '.join(moves)}), m -> m is not null)"))).select("at.home", "at.shared", "id", *names, *(f"at.{t}" for t in tiles))
     local = dealt.repartition(scan_parts(pts), *tiles).sortWithinPartitions(*tiles).mapInArrow(by_tile(eps, min_pts, SLACK, d), TILED)
-    local = durable(local, "tiled")
-    bad = pts.filter(~F.coalesce(_finite(names), F.lit(False)))
-    rows = local.filter("kind = 0").select("id", "is_core", "name").unionByName(_alone(bad.select("id"), min_pts))
-    return rows, local.filter("kind = 1").select("name", "id")
-
-
-def _finite(names: list[str]):
-    return reduce(lambda s, t: s & t, (finite(F.col(c)) for c in names))
+    return durable(local, "tiled")
+
+
+def breakdown(pts: DataFrame, eps: float, min_pts: int = 5, tile: int = TILE) -> DataFrame:
+    """(rank, compute_s, comm_s) of each task that clusters tiles: seconds of work, and of waiting for shuffled rows.
+
+    Empty where the points are clustered by joins."""
+    plan = _tiles(pts, eps, tile) if axes(pts) and eps > 0 else None
+    if plan is None:
+        return pts.sparkSession.createDataFrame([], "rank int, compute_s double, comm_s double")
+    seconds = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("name"))) / 1e9
+    times = _tiled(pts, eps, min_pts, *plan).filter("kind >= 2").groupBy(F.col("id").cast("int").alias("rank"))
+    return times.agg(seconds(2).alias("compute_s"), seconds(3).alias("comm_s"))
+
+
+def verify(pts: DataFrame, eps: float, min_pts: int = 5) -> tuple[DataFrame, float]:
+    """Cluster by tiles and by joins; one row (ari, n_clusters, n_clusters_check, n_noise, n_noise_check), and how many
+    times as fast the tiles were."""
+    took, labels = [], []
+    for tile in (TILE, 0):
+        start = time.perf_counter()
+        labels.append(durable(dbscan(pts, eps, min_pts, tile), "verify"))
+        took.append(time.perf_counter() - start)
+    ari = adjusted_rand_index(*labels)
+    first, second = map(summary, labels)
+    second = second.select(F.col("n_clusters").alias("n_clusters_check"), F.col("n_noise").alias("n_noise_check"))
+    # one row each
+    return ari.join(first).join(second).select(F.round("ari", 6).alias("ari"), "n_clusters", "n_clusters_check", "n_noise", "n_noise_check"), took[1] / took[0]
 
 
 def _side(eps: float, d: int) -> float:

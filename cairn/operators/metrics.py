@@ -58,3 +58,16 @@ def slowest(timing: DataFrame) -> DataFrame:
 def in_window(timing: DataFrame, low: float = 120.0, high: float = 180.0) -> DataFrame:
     """Runs whose wall time lies between two bounds."""
     return timing.filter(F.col("wall_s").between(low, high))
+
+
+def distinct_labels(labels: DataFrame) -> DataFrame:
+    """(label) of the clusters, each once."""
+    return labels.filter("label >= 0").select("label").distinct()
+
+
+def report(labels: DataFrame, timing: DataFrame) -> DataFrame:
+    """(section, name, value) of a run: points, clusters and noise, the greatest compute and communication time over tasks,
+    and each task's (rank, compute_s, comm_s)."""
+    flat = lambda df, section, names: df.select(F.explode(F.array(*(F.struct(F.lit(section).alias("section"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names))).alias("r")).select("r.*")
+    ranks = timing.select(F.explode(F.array(*(F.struct(F.lit("rank").alias("section"), F.concat_ws(" ", F.col("rank").cast("string"), F.lit(n)).alias("name"), F.col(n).alias("value")) for n in ("compute_s", "comm_s")))).alias("r")).select("r.*")
+    return flat(summary(labels), "summary", ["n_points", "n_clusters", "n_noise"]).unionByName(flat(slowest(timing), "time", ["max_compute_s", "max_comm_s"])).unionByName(ranks)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.geometry import in_box, widest
+from cairn.functions.geometry import boxes_overlap, in_box, widest
 from cairn.operators.points import axes
 from cairn.plans.durable import durable
 
@@ -36,11 +36,23 @@ def x_slabs(pts: DataFrame, parts: int) -> DataFrame:
 
 
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The value at 0-based place n // 2 of each group: of an even number of values the upper middle one. NaN is left out."""
+    """The value at 0-based place n // 2 of each group: of an even number of values the upper middle one. NaN is left out.
+
+    From counts by value: equal values are one row, and no group is gathered."""
     kept = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    freq = kept.groupBy(*group, value).agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*group)
-    placed = kept.withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count("*").over(w))
-    return placed.filter(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*group, F.col(value).alias("median"))
+    runs = freq.select(*group, value, "__n", F.sum("__n").over(w.orderBy(value)).alias("__upto"), F.sum("__n").over(w).alias("__all"))
+    return runs.filter("__upto > floor(__all / 2) and __upto - __n <= floor(__all / 2)").select(*group, F.col(value).alias("median"))
+
+
+def median_of_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(median): the upper median of the groups' upper medians, NaN left out; where no group has one, the middle between
+    the least and the greatest finite value, or null."""
+    medians = upper_median(df, [group], value).groupBy().agg(F.sort_array(F.collect_list("median")).alias("m"))
+    middle = df.filter(~F.isnan(value)).agg(((F.min(value) + F.max(value)) / 2).alias("middle"))
+    # one row each: the medians of partitions, as many as there are partitions
+    return medians.join(middle).select(F.coalesce(F.get("m", F.floor(F.size("m") / 2).cast("int")), "middle").alias("median"))
 
 
 def bounding_boxes(pts: DataFrame, group: list[str]) -> DataFrame:
@@ -48,12 +60,35 @@ def bounding_boxes(pts: DataFrame, group: list[str]) -> DataFrame:
 
 
 def halo_points(pts: DataFrame, part: str, eps: float) -> DataFrame:
-    """(part, id): for every partition the points of others within its bounding box widened by eps. Boxes are one row a
-    partition, so they are broadcast."""
+    """(part, id): for every partition the points of others within its bounding box widened by eps.
+
+    Boxes and points meet in the cells of a grid as wide as the widest box, of which a widened box touches few, and then
+    exactly."""
     names = axes(pts)
     boxes = bounding_boxes(pts, [part]).withColumnRenamed(part, "box")
-    on = (F.col(part) != F.col("box")) & in_box([F.col(c) for c in names], [F.col(f"min_{c}") - F.lit(eps) for c in names], [F.col(f"max_{c}") + F.lit(eps) for c in names])
-    return pts.join(F.broadcast(boxes), on).select(F.col("box").alias(part), "id")
+    low, high = ([F.col(f"{t}_{c}") + F.lit(s * eps) for c in names] for t, s in (("min", -1), ("max", 1)))
+    widths = boxes.agg(*(F.max(hi - lo).alias(c) for c, lo, hi in zip(names, low, high))).first()
+    wide = [max(widths[c] or 0.0, 1e-300) for c in names]
+    cells = lambda x, w: F.floor(x / F.lit(w))
+    for c, lo, hi, w in zip(names, low, high, wide):
+        boxes = boxes.withColumn(f"b_{c}", F.explode(F.sequence(cells(lo, w), cells(hi, w))))
+    keyed = pts.select(F.col(part).alias("own"), "id", *names, *(cells(F.col(c), w).alias(f"c_{c}") for c, w in zip(names, wide)))
+    on = [F.col(f"c_{c}") == F.col(f"b_{c}") for c in names]
+    met = keyed.join(boxes, on).filter((F.col("own") != F.col("box")) & in_box([F.col(c) for c in names], low, high))
+    return met.select(F.col("box").alias(part), "id")
+
+
+def local_and_halo(pts: DataFrame, part: str, eps: float) -> DataFrame:
+    """(part, id, is_local): the points that a partition works on, its own and those around it."""
+    return pts.select(part, "id", F.lit(True).alias("is_local")).unionByName(halo_points(pts, part, eps).select(part, "id", F.lit(False).alias("is_local")))
+
+
+def overlapping(boxes: DataFrame, part: str, names: list[str]) -> DataFrame:
+    """(a, b): pairs a < b of boxes that share a point. Of two such boxes one reaches over the other's low corner on each
+    axis; boxes are one row a partition."""
+    side = lambda n: boxes.select(F.col(part).alias(n), *(F.col(f"{t}_{c}").alias(f"{n}_{t}_{c}") for c in names for t in ("min", "max")))
+    cols = lambda n, t: [F.col(f"{n}_{t}_{c}") for c in names]
+    return side("a").join(side("b"), (F.col("a") < F.col("b")) & boxes_overlap(cols("a", "min"), cols("a", "max"), cols("b", "min"), cols("b", "max"))).select("a", "b")
 
 
 def median_bisection(pts: DataFrame, levels: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -20,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """``shared_dir`` as a path that Python opens on every node; raises ``ValueError`` where it is none."""
+    root = shared_dir(spark)
+    if not root.startswith(("/", "file:")):
+        raise ValueError(f"files are opened by path, and {root} is none")
+    path = "/" + root.removeprefix("file:").lstrip("/") + "/cairn"
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def durable(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written; ``small`` results of many tasks in few files.
 

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.geometry import is_power_of_two
 from cairn.operators import metrics, partition
 from cairn.operators.components import SMALL, connected_components
-from cairn.operators.dbscan import TILE, dbscan, dense_relabel, remap_apply
+from cairn.operators.dbscan import TILE, breakdown, dbscan, dense_relabel, remap_apply, verify
 from cairn.operators.neighbors import border_assignment, border_edges, core_edges, core_points, eps_neighbors, neighbor_counts
 from cairn.operators.points import points
-from cairn.plans.durable import durable
-from cairn.sources import generate, points_bin
+from cairn.plans.durable import durable, shared_dir, shared_path
+from cairn.plans.guard import builds
+from cairn.sources import generate, points_bin, reports
 
 #: Point sets: table, id, coordinates in Spark and in DuckDB.
 SETS = {
@@ -89,20 +90,88 @@ def q_remap(spark, sf_dir):
     return remap_apply(labels, remap)
 
 
-def q_points_file(spark, sf_dir):
-    """Writes a point file, reads it in ranges of rows, clusters what was read. One shared folder for all nodes."""
-    from cairn.plans.durable import shared_dir
+def _file(spark, suffix: str) -> str:
+    """A new file's path in the folder that all nodes share."""
+    return f"{shared_path(spark)}/{uuid.uuid4().hex}{suffix}"
+
 
-    root = shared_dir(spark)
-    folder = Path(root.removeprefix("file:")) if root.startswith(("/", "file:")) else Path(tempfile.gettempdir())
-    folder.mkdir(parents=True, exist_ok=True)
-    path = tempfile.mktemp(suffix=".bin", dir=folder)
+def q_points_file(spark, sf_dir):
+    """Writes a point file, reads it in ranges of rows, clusters what was read."""
+    path = _file(spark, ".bin")
     customers = read(spark, sf_dir, "customer").select("id", F.array("x0", "x1").alias("coords"))
     points_bin.write_points(customers, path)
     back = points_bin.read_points(spark, path, 400)
     return dbscan(back.select("id", F.col("coords")[0].alias("x0"), F.col("coords")[1].alias("x1")), EPS["customer"], MIN_PTS)
 
 
+def q_labels_file(spark, sf_dir):
+    path = _file(spark, ".bin")
+    points_bin.write_labels(_labels(spark, sf_dir), path)
+    return points_bin.read_labels(spark, path, 300)
+
+
+def q_truth_file(spark, sf_dir):
+    path = _file(spark, ".npy")
+    points_bin.write_npy(generate.labelled_blocks(spark, 3000).select("id", F.col("true_label").alias("label")), path)
+    return points_bin.read_npy(spark, path, 700)
+
+
+def _flat(blobs):
+    """Coordinates as columns, to six digits."""
+    return blobs.select("id", *(F.round(F.col("coords")[k], 6).alias(f"x{k}") for k in range(2)), "true_label")
+
+
+def _runs(spark, sf_dir):
+    """A table of runs: one a nation."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy((F.col("c_nationkey") + 1).cast("int").alias("n_procs")).agg(F.count("*").alias("n_points"), (F.max("c_acctbal").cast("double") / 50).alias("wall_s"), F.max("c_custkey").cast("double").alias("compute_s"), F.min("c_custkey").cast("double").alias("comm_s"))
+
+
+def q_csv(spark, sf_dir):
+    """Appends runs to a CSV folder in two writes and reads them back."""
+    path, runs = f"{shared_dir(spark)}/cairn/runs-{uuid.uuid4().hex}", _runs(spark, sf_dir)
+    reports.append_runs(runs.filter("n_procs <= 10"), path)
+    reports.append_runs(runs.filter("n_procs > 10"), path)
+    return reports.read_runs(spark, path)
+
+
+def _log(spark, sf_dir):
+    """Lines of a run's log, through a text file: a table of tasks and a metric with a note that is none."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    table = rows.select(F.format_string("  %d   %.4f  %.4f", F.col("s_suppkey").cast("int"), F.abs(F.col("s_acctbal").cast("double")), F.col("s_nationkey").cast("double") + 0.5).alias("value"))
+    notes = rows.select(F.format_string("  wall time : %.2f s (%d = most)", F.abs(F.col("s_acctbal").cast("double")), F.col("s_nationkey").cast("int")).alias("value"))
+    path = f"{shared_dir(spark)}/cairn/log-{uuid.uuid4().hex}"
+    table.unionByName(notes).write.text(path)
+    return spark.read.text(path)
+
+
+def q_report(spark, sf_dir):
+    return metrics.report(_labels(spark, sf_dir), reports.timing_table(_log(spark, sf_dir)))
+
+
+def q_verify(spark, sf_dir):
+    return verify(read(spark, sf_dir, "customer"), EPS["customer"], MIN_PTS)[0]
+
+
+def q_breakdown(spark, sf_dir):
+    """Whether every task has a time of work and one of waiting; the seconds themselves change from run to run."""
+    times = breakdown(read(spark, sf_dir, "customer"), EPS["customer"], MIN_PTS, tile=200)
+    return times.agg((F.count("*") > 0).alias("some"), F.bool_and((F.col("compute_s") >= 0) & (F.col("comm_s") >= 0)).alias("complete"))
+
+
+def q_cross_edges(spark, sf_dir):
+    """Core edges whose ends lie in different blocks, with both ends' blocks."""
+    edges, core = _edges_and_core(spark, sf_dir)
+    blocks = _boxed(spark, sf_dir).select("id", "block")
+    ends = core_edges(edges, core).join(blocks.select(F.col("id").alias("src"), F.col("block").alias("src_block")), "src").join(blocks.select(F.col("id").alias("dst"), F.col("block").alias("dst_block")), "dst")
+    return ends.filter("src_block < dst_block").select("src", "dst", "src_block", "dst_block")
+
+
+def q_components_distributed(spark, sf_dir):
+    """Rounds of stars to the end, whatever the size."""
+    edges, core = _edges_and_core(spark, sf_dir)
+    return connected_components(core_edges(edges, core), small=0).select(F.col("node").alias("id"), "component")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     edges = lambda f: lambda spark, d: f(*_edges_and_core(spark, d))
     customer = lambda f: lambda spark, d: f(read(spark, d, "customer"))
@@ -142,9 +211,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dense_relabel": lambda s, d: dense_relabel(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("component"))),
         "imbalance": lambda s, d: metrics.imbalance(lineitem(s, d), ["l_returnflag"], "l_quantity").select("l_returnflag", F.round("imbalance_pct", 6).alias("imbalance_pct")),
         "speedup": lambda s, d: metrics.speedup(s.read.parquet(f"{d}/customer.parquet").groupBy((F.col("c_nationkey") + 1).alias("procs")).agg(F.count("*").cast("double").alias("wall_s")), "procs", "wall_s").select("procs", F.round("speedup", 6).alias("speedup")),
+        "components_distributed": q_components_distributed,
+        "cross_edges": q_cross_edges,
+        "median_of_medians": lambda s, d: partition.median_of_medians(_boxed(s, d), "block", "x0"),
+        "local_and_halo": lambda s, d: partition.local_and_halo(_boxed(s, d), "block", 0.1),
+        "boxes_overlap": lambda s, d: partition.overlapping(partition.bounding_boxes(_boxed(s, d), ["block"]), "block", ["x0", "x1"]),
+        "power_of_two": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", is_power_of_two(F.col("c_custkey")).alias("flag")),
+        "distinct_labels": lambda s, d: metrics.distinct_labels(_labels(s, d)),
+        "report": q_report,
+        "slowest": lambda s, d: metrics.slowest(_runs(s, d)),
+        "in_window": lambda s, d: metrics.in_window(_runs(s, d), 195.0, 199.0).select("n_procs", F.round("wall_s", 6).alias("wall_s")),
+        "argsort": lambda s, d: partition.rank_by(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"]).select("s_suppkey", F.col("rank").cast("long").alias("rank")),
+        "permutation": lambda s, d: generate.permuted(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), "s_suppkey"), 11),
+        "csv_append_read": lambda s, d: q_csv(s, d).select("n_procs", "n_points", F.round("wall_s", 6).alias("wall_s"), "compute_s", "comm_s"),
+        "timing_log": lambda s, d: reports.timing_table(_log(s, d)),
+        "log_metric": lambda s, d: reports.metric(_log(s, d), "wall time").groupBy("metric").agg(F.count("*").alias("n")),
+        "labels_bin_roundtrip": q_labels_file,
+        "labels_npy_roundtrip": q_truth_file,
+        "verify": q_verify,
+        "timing_breakdown": q_breakdown,
+        "build_guard": lambda s, d: builds(s),
         "dedupe_first": lambda s, d: s.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("gid")).agg(F.min("o_orderkey").alias("first")),
-        "exclusive_ntile": lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.ntile(4).over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("block")),
-        "blob_generate": lambda s, d: generate.blobs(s, 5000),
+        "exclusive_ntile": lambda s, d: partition.block_partition(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey"), 4, ["s_suppkey"]).select("s_suppkey", F.col("block").cast("long").alias("block")),
+        "blob_generate": lambda s, d: _flat(generate.blobs(s, 5000)),
+        "blob_generate_in_order": lambda s, d: _flat(generate.blobs(s, 4000, seed=3, shuffle=False)),
+        "blob_generate_blocks": lambda s, d: _flat(generate.labelled_blocks(s, 3003, 7)),
         "points_bin_roundtrip": q_points_file,
     }
 
@@ -199,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
     dist64 = "list_sum(list_transform(range(1, 65), lambda k: (a.v[k] - b.v[k]) * (a.v[k] - b.v[k])))"
     e64 = chain("SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings", f"{dist64} <= {EPS_64}::DOUBLE * {EPS_64}::DOUBLE")
     blocks = f"WITH pts AS ({_points_sql('customer')}), p AS (SELECT *, (ntile(8) OVER (ORDER BY id) - 1)::INTEGER AS block FROM pts), bx AS (SELECT block, min(x0) AS min_x0, max(x0) AS max_x0, min(x1) AS min_x1, max(x1) AS max_x1 FROM p GROUP BY block)"
+    runs = "SELECT (c_nationkey + 1)::INTEGER AS n_procs, count(*) AS n_points, max(c_acctbal)::DOUBLE / 50 AS wall_s, max(c_custkey)::DOUBLE AS compute_s, min(c_custkey)::DOUBLE AS comm_s FROM customer GROUP BY c_nationkey"
     split = lambda src, out: f"{out}_b AS (SELECT part, CASE WHEN max(x0) - min(x0) >= max(x1) - min(x1) THEN 0 ELSE 1 END AS dim FROM {src} GROUP BY part), {out}_v AS (SELECT {src}.id, {src}.x0, {src}.x1, {src}.part, CASE WHEN dim = 0 THEN {src}.x0 ELSE {src}.x1 END AS v FROM {src} JOIN {out}_b ON {out}_b.part = {src}.part), {out}_m AS (SELECT part, v AS m FROM (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY v) AS r, count(*) OVER (PARTITION BY part) AS n FROM {out}_v) WHERE r = n // 2 + 1), {out} AS (SELECT {out}_v.id, {out}_v.x0, {out}_v.x1, ({out}_v.part * 2 + CASE WHEN v <= m THEN 0 ELSE 1 END)::INTEGER AS part FROM {out}_v JOIN {out}_m ON {out}_m.part = {out}_v.part)"
     return {
         "eps_neighbors": f"{c} SELECT src, dst FROM nb",
@@ -233,6 +325,49 @@ def oracle_sql() -> dict[str, str]:
         "dense_relabel": "SELECT c_custkey AS id, r AS label FROM customer JOIN (SELECT c_nationkey AS k, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS r FROM customer GROUP BY c_nationkey) ON k = c_nationkey",
         "imbalance": "SELECT l_returnflag, round((max(l_quantity) - min(l_quantity)) / max(l_quantity) * 100, 6) AS imbalance_pct FROM lineitem GROUP BY l_returnflag",
         "speedup": "SELECT procs, round(first_value(w) OVER (ORDER BY (procs <> 1)::INTEGER, procs ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / w, 6) AS speedup FROM (SELECT c_nationkey + 1 AS procs, count(*)::DOUBLE AS w FROM customer GROUP BY 1)",
+        "components_distributed": q_components_distributed,
+        "cross_edges": q_cross_edges,
+        "median_of_medians": lambda s, d: partition.median_of_medians(_boxed(s, d), "block", "x0"),
+        "local_and_halo": lambda s, d: partition.local_and_halo(_boxed(s, d), "block", 0.1),
+        "boxes_overlap": lambda s, d: partition.overlapping(partition.bounding_boxes(_boxed(s, d), ["block"]), "block", ["x0", "x1"]),
+        "power_of_two": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", is_power_of_two(F.col("c_custkey")).alias("flag")),
+        "distinct_labels": lambda s, d: metrics.distinct_labels(_labels(s, d)),
+        "report": q_report,
+        "slowest": lambda s, d: metrics.slowest(_runs(s, d)),
+        "in_window": lambda s, d: metrics.in_window(_runs(s, d), 195.0, 199.0).select("n_procs", F.round("wall_s", 6).alias("wall_s")),
+        "argsort": lambda s, d: partition.rank_by(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"]).select("s_suppkey", F.col("rank").cast("long").alias("rank")),
+        "permutation": lambda s, d: generate.permuted(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), "s_suppkey"), 11),
+        "csv_append_read": lambda s, d: q_csv(s, d).select("n_procs", "n_points", F.round("wall_s", 6).alias("wall_s"), "compute_s", "comm_s"),
+        "timing_log": lambda s, d: reports.timing_table(_log(s, d)),
+        "log_metric": lambda s, d: reports.metric(_log(s, d), "wall time").groupBy("metric").agg(F.count("*").alias("n")),
+        "labels_bin_roundtrip": q_labels_file,
+        "labels_npy_roundtrip": q_truth_file,
+        "verify": q_verify,
+        "timing_breakdown": q_breakdown,
+        "build_guard": lambda s, d: builds(s),
+        "components_distributed": f"{c} SELECT id, lbl AS component FROM cc",
+        "cross_edges": f"{c}, blk AS (SELECT id, (ntile(8) OVER (ORDER BY id) - 1)::INTEGER AS block FROM pts) SELECT src, dst, a.block AS src_block, b.block AS dst_block FROM ce JOIN blk a ON a.id = src JOIN blk b ON b.id = dst WHERE a.block < b.block",
+        "median_of_medians": f"{blocks}, m AS (SELECT block, x0 FROM (SELECT block, x0, row_number() OVER (PARTITION BY block ORDER BY x0) AS r, count(*) OVER (PARTITION BY block) AS n FROM p) WHERE r = n // 2 + 1) SELECT x0 AS median FROM (SELECT x0, row_number() OVER (ORDER BY x0) AS r, count(*) OVER () AS n FROM m) WHERE r = n // 2 + 1",
+        "local_and_halo": f"{blocks} SELECT block, id, true AS is_local FROM p UNION ALL SELECT bx.block, p.id, false FROM p JOIN bx ON p.block <> bx.block AND p.x0 BETWEEN bx.min_x0 - 0.1::DOUBLE AND bx.max_x0 + 0.1::DOUBLE AND p.x1 BETWEEN bx.min_x1 - 0.1::DOUBLE AND bx.max_x1 + 0.1::DOUBLE",
+        "boxes_overlap": f"{blocks} SELECT a.block AS a, b.block AS b FROM bx a JOIN bx b ON a.block < b.block AND a.min_x0 <= b.max_x0 AND b.min_x0 <= a.max_x0 AND a.min_x1 <= b.max_x1 AND b.min_x1 <= a.max_x1",
+        "power_of_two": "SELECT c_custkey, c_custkey > 0 AND (c_custkey & (c_custkey - 1)) = 0 AS flag FROM customer",
+        "distinct_labels": f"{c} SELECT DISTINCT label FROM lab WHERE label >= 0",
+        "report": f"{c}, s AS (SELECT count(*) AS n_points, coalesce(max(label), -1) + 1 AS n_clusters, count(*) FILTER (WHERE label < 0) AS n_noise FROM lab), t AS (SELECT s_suppkey AS rank, round(abs(s_acctbal::DOUBLE), 4) AS compute_s, s_nationkey + 0.5::DOUBLE AS comm_s FROM supplier) SELECT 'summary' AS section, 'n_points' AS name, n_points::DOUBLE AS value FROM s UNION ALL SELECT 'summary', 'n_clusters', n_clusters FROM s UNION ALL SELECT 'summary', 'n_noise', n_noise FROM s UNION ALL SELECT 'time', 'max_compute_s', max(compute_s) FROM t UNION ALL SELECT 'time', 'max_comm_s', max(comm_s) FROM t UNION ALL SELECT 'rank', rank || ' compute_s', compute_s FROM t UNION ALL SELECT 'rank', rank || ' comm_s', comm_s FROM t",
+        "slowest": f"SELECT max(compute_s) AS max_compute_s, max(comm_s) AS max_comm_s FROM ({runs})",
+        "in_window": f"SELECT n_procs, round(wall_s, 6) AS wall_s FROM ({runs}) WHERE wall_s BETWEEN 195.0::DOUBLE AND 199.0::DOUBLE",
+        "argsort": "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS rank FROM supplier",
+        "permutation": "SELECT row_number() OVER (ORDER BY md5('11/o/' || s_suppkey), s_suppkey) - 1 AS id, s_suppkey FROM supplier",
+        "csv_append_read": f"SELECT n_procs, n_points, round(wall_s, 6) AS wall_s, compute_s, comm_s FROM ({runs})",
+        "timing_log": "SELECT s_suppkey::INTEGER AS rank, round(abs(s_acctbal::DOUBLE), 4) AS compute_s, s_nationkey + 0.5::DOUBLE AS comm_s FROM supplier",
+        "log_metric": "SELECT round(abs(s_acctbal::DOUBLE), 2) AS metric, count(*) AS n FROM supplier GROUP BY 1",
+        "labels_bin_roundtrip": f"{c} SELECT row_number() OVER (ORDER BY id) - 1 AS id, label FROM lab",
+        "labels_npy_roundtrip": f"SELECT id, true_label AS label FROM ({generate.labelled_blocks_sql(3000)})",
+        "verify": f"{c} SELECT 1.0::DOUBLE AS ari, coalesce(max(label), -1) + 1 AS n_clusters, coalesce(max(label), -1) + 1 AS n_clusters_check, count(*) FILTER (WHERE label < 0) AS n_noise, count(*) FILTER (WHERE label < 0) AS n_noise_check FROM lab",
+        "timing_breakdown": "SELECT true AS some, true AS complete",
+        "build_guard": "SELECT 1::BIGINT AS n_builds, true AS same",
+        "blob_generate": generate.blobs_sql(5000),
+        "blob_generate_in_order": generate.blobs_sql(4000, seed=3, shuffle=False),
+        "blob_generate_blocks": generate.labelled_blocks_sql(3003, 7),
         "dedupe_first": "SELECT o_custkey AS gid, min(o_orderkey) AS first FROM orders GROUP BY o_custkey",
         "exclusive_ntile": "SELECT s_suppkey, ntile(4) OVER (ORDER BY s_suppkey) - 1 AS block FROM supplier",
         "points_bin_roundtrip": f"{c} SELECT id, label, is_core FROM lab",
