@@ -65,10 +65,10 @@ def _stars(batches):
         yield close()
 
 
-def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
-    """A durable table of ``edges`` (u, v) with their number and a hash of them all."""
+def _written(edges: DataFrame, many: bool = False) -> tuple[DataFrame, tuple[int, int]]:
+    """A durable table of ``edges`` (u, v), the result of ``many`` tasks or few, with their number and a hash of them all."""
     seen = Observation()
-    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")), name)
+    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")), "edges", small=many)
     return out, (seen.get["n"], seen.get["h"])
 
 
@@ -79,7 +79,7 @@ def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """
     a, b = (F.col(f"`{c}`").cast("long") for c in edges.columns[:2])
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("ok")).filter("ok").select("u", "v")
-    now, size = _written(pairs.mapInArrow(_stars, "u long, v long"), "edges")
+    now, size = _written(pairs.mapInArrow(_stars, "u long, v long"), many=True)
     loops, keep, seen = now.filter("u = v"), [now], None
     while size[0] > small and size != seen:
         seen, linked = size, now.filter("u <> v")
@@ -89,7 +89,7 @@ def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(low, "u")
         after = small_star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).union(loops)
-        now, size = _written(after.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        now, size = _written(after.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         if len(keep) > 1:
             drop_durable(keep.pop())
         keep.append(now)
