@@ -5,6 +5,7 @@ Nothing outside :mod:`cairn.llm` imports this module.
 
 from __future__ import annotations
 
+import bisect
 import ctypes
 
 import numpy as np
@@ -86,14 +87,35 @@ def tied(docs: DataFrame) -> DataFrame:
     return columns(docs, "doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, size, z): texts compressed one by one, for a shuffle of whole texts."""
+#: Rows for each range that a sample of the order has about.
+SAMPLE = 64
+
+
+def dealt(docs: DataFrame, descending: bool = False) -> DataFrame:
+    """(doc_id, tie, size, z): texts compressed one by one, dealt to as many tasks as read ``docs`` by ranges of doc_id and
+    sorted in them, nulls first (``descending``: last); rows of one doc_id by the hash of their texts, and rows that are
+    equal in both in any order, over several ranges where they are many.
+
+    Bounds come from a sample of the keys whose size goes with the number of ranges, so that texts are compressed once.
+    """
+    parts, n = scan_parts(docs), docs.count()
+    salt = F.xxhash64(F.monotonically_increasing_id()).alias("salt")
+    keys = lambda b: zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "salt")))
+    place = (lambda d, t, s: (d is None, -(d or 0), t, s)) if descending else (lambda d, t, s: (d is not None, d or 0, t, s))
+    fraction = min(1.0, SAMPLE * parts / max(n, 1))
+    few = tied(docs.sample(fraction, seed=3) if fraction < 1 else docs).select("doc_id", "tie", salt).toArrow()
+    picked = sorted(place(*k) for k in keys(few))
+    bounds = [picked[len(picked) * k // parts] for k in range(1, parts)] if picked else []
 
     def run(batches):
-        yield from pack_texts(batches, ("doc_id", "tie"))
+        for batch in batches:
+            part = [bisect.bisect_right(bounds, place(*k)) for k in keys(batch)]
+            yield from pack_texts([batch.append_column("part", pa.array(part, pa.int32()))], ("doc_id", "tie", "salt", "part"))
         trim()
 
-    return tied(docs).mapInArrow(run, "doc_id long, tie long, size long, z binary")
+    rows = tied(docs).select("doc_id", "tie", salt, "text").mapInArrow(run, "doc_id long, tie long, salt long, part int, size long, z binary")
+    order = [F.col("doc_id").desc_nulls_last() if descending else F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("salt")]
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions(*order).select("doc_id", "tie", "size", "z")
 
 
 def pack_texts(batches, keep: tuple[str, ...]):

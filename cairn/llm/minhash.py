@@ -145,11 +145,7 @@ def compare_edits(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         if held is not None:
             yield edge(2, held[0], held[1])
 
-    # rows that are equal in id and text may part anywhere
-    rows = base.packed(docs).withColumn("row", F.monotonically_increasing_id())
-    order = [F.col("doc_id").desc(), F.col("tie"), F.col("row")]
-    dealt = rows.repartitionByRange(base.scan_parts(docs), *order).sortWithinPartitions(*order).drop("row")
-    out = base.durable(dealt.mapInArrow(run, EDITED), "edits")
+    out = base.durable(base.dealt(docs, descending=True).mapInArrow(run, EDITED), "edits")
     heads, tails = out.filter("kind = 1"), out.filter("kind = 2")
     # one row a range, without texts
     ranges = heads.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
