@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,27 @@ def shared_path(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+#: Paths of the tables written inside each open ``scratch``.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``durable`` writes inside are deleted at the end, but for those it is asked to let stay."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def durable(df: DataFrame, name: str, small: bool = False, stay: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written; ``small`` results of many tasks in few files.
 
     A lost executor then costs the reading tasks only, and the scan has true size statistics, where the estimates of a
@@ -39,17 +60,17 @@ def durable(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn/{name}-{uuid.uuid4().hex}"
+    if _OPEN and not stay:
+        _OPEN[-1].append(path)
     (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_durable(df: DataFrame) -> None:
     """Delete what ``durable`` wrote for ``df``; only for tables that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cairn/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/cairn/" in folder:
+            _delete(df.sparkSession, folder)
 
 
 def scan_parts(df: DataFrame) -> int:

@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows of a batch between Spark and Python, unless the session says otherwise: whole texts make batches large.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
 def ship(spark: SparkSession) -> None:
     """Add the package to the session's Python files, once an application: functions that run on executors import it."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

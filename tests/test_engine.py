@@ -1,5 +1,6 @@
 """Partitioning, metrics, generators, files, command line and registry by themselves."""
 
+import os
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from cairn import registry
 from cairn.operators import metrics, partition
 from cairn.operators.dbscan import breakdown, dense_relabel, verify
 from cairn.plans import guard
-from cairn.plans.durable import drop_durable, durable, shared_path
+from cairn.plans.durable import drop_durable, durable, scratch, shared_path
 from cairn.sources import generate, points_bin, reports
 
 NAN = float("nan")
@@ -158,3 +159,10 @@ def test_durable_tables(spark):
 
 def test_every_query_has_sql():
     assert registry.queries().keys() == registry.oracle_sql().keys()
+
+
+def test_scratch(spark):
+    with scratch(spark):
+        stays, goes = durable(spark.range(3), "a", stay=True), durable(spark.range(3), "b")
+        paths = [t.inputFiles()[0].removeprefix("file:") for t in (stays, goes)]
+    assert os.path.exists(paths[0]) and not os.path.exists(paths[1]) and stays.count() == 3
