@@ -219,6 +219,8 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def audio_features(media: DataFrame, params: AudioParams = AudioParams()) -> DataFrame:
     """Durable table of the clips' digests, tensors (see ``read_tensors``) and segments, from (doc_id, media)."""
 
+    base.ship(media.sparkSession)
+
     def run(batches):
         front = Frontend(params)
         sec = params.hop / params.out_rate

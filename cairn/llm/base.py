@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.plans.durable import drop_durable, durable, scan_parts, shared_dir  # noqa: F401
+from cairn.plans.ship import ship
 
 #: Bytes of text that one vectorised step holds at once (a longer document is one step of its own).
 STEP_BYTES = 1 << 20
@@ -45,6 +46,7 @@ def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
     Helper columns of other names then clash with none of ``df``'s, whatever they are called; ``toDF`` gives names back.
     """
+    ship(df.sparkSession)
     names = [f"c{k}" for k in range(len(df.columns))]
     return df.toDF(*names), dict(zip(df.columns, names))
 

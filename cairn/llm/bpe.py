@@ -244,7 +244,7 @@ def coder(vocab: str) -> tuple[Bpe, WordCoder]:
     if vocab not in _CODERS:
         bpe = Bpe(vocab)
         # a worker lives on between tasks and stages, so what it keeps is small
-        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_words, 50_000), most=150_000)
+        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_words), most=300_000)
     return _CODERS[vocab]
 
 

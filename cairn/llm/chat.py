@@ -102,6 +102,7 @@ def fold_events(events: DataFrame) -> DataFrame:
             rows.append({"conv_id": now[0], "message": now[1], "role": role, "text": "".join(parts)})
             yield out()
 
+    base.ship(events.sparkSession)
     lean = events.select(F.col("conv_id").cast("long").alias("conv_id"), "message", "seq", "kind", "role", "text")
     return lean.repartition(base.scan_parts(lean), "conv_id", "message").sortWithinPartitions("conv_id", "message", "seq").mapInArrow(run, schema)
 
@@ -133,6 +134,7 @@ def format_chats(messages: DataFrame, trained: str = "assistant", row_chars: int
         if now is not None:
             yield row()
 
+    base.ship(messages.sparkSession)
     lean = messages.select("conv_id", "message", "role", "text")
     return lean.repartition(base.scan_parts(lean), "conv_id").sortWithinPartitions("conv_id", "message").drop("message").mapInArrow(run, FORMATTED)
 
@@ -173,6 +175,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             end()
             yield out()
 
+    base.ship(formatted.sparkSession)
     lean = formatted.select("conv_id", "part", "text", "loss")
     return lean.repartition(base.scan_parts(lean), "conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

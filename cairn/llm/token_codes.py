@@ -25,6 +25,7 @@ import bisect
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from cairn.llm.wordcache import WordCoder, by_pieces, plain_pieces
 MAGIC = b"DACS"
 RANK_STEP = 512
 #: Tokens after which a shard ends (a longer document is a shard of its own), and shards of a file.
-SHARD_TOKENS, FILE_SHARDS = 1 << 20, 8
+SHARD_TOKENS, FILE_SHARDS = 1 << 19, 8
 END_ID = 2
 HEAD, TAIL = "<4sHHQQ", 50
 
@@ -212,14 +213,11 @@ def library_cache(vocab: str) -> WordCoder:
             return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(words, add_special_tokens=False)]
 
         def pieces(new: list[str]) -> list[bytes]:
-            out = []
-            for w in new:
-                ids = [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letter))]
-                out.append(b"".join([i.to_bytes(4, "little") for i in ids]))
-            return out
+            cut = model.tokenize
+            return [array("I", [t.id for t in cut(w if w.isascii() else w.encode().decode("latin-1").translate(letter))]).tobytes() for w in new]
 
         # pieces can go straight to the library's model where what comes before it is the normal form and byte letters
-        _CACHES[vocab] = WordCoder(by_pieces(pieces, general)) if is_word_level(tok) else WordCoder(general, cut=False)
+        _CACHES[vocab] = WordCoder(by_pieces(pieces, general), most=400_000) if is_word_level(tok) else WordCoder(general, cut=False)
     return _CACHES[vocab]
 
 
@@ -255,10 +253,7 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = END_ID, chunk_b
 
     spark = docs.sparkSession
     path = path or f"{base.shared_dir(spark)}/cairn/tokens-{uuid.uuid4().hex}"
-    rows = base.packed(docs).withColumn("row", F.monotonically_increasing_id())
-    order = ["doc_id", "tie", "row"]
-    dealt = rows.repartitionByRange(base.scan_parts(docs), *order).sortWithinPartitions(*order).drop("tie", "row")
-    dealt.mapInArrow(run, "value string").write.option("maxRecordsPerFile", FILE_SHARDS).option("lineSep", "\n").text(path)
+    base.dealt(docs).mapInArrow(run, "value string").write.option("maxRecordsPerFile", FILE_SHARDS).option("lineSep", "\n").text(path)
     return spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
 
 
@@ -268,10 +263,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     ``middle_id`` is the id at half the document's length, rounded down, which is read alone. A shard knows the tokens before it in its
     task; those of the tasks before come from a running sum over one small row a writing task.
     """
-    digits = lambda at, n: F.decode(F.substring("content", at - TAIL - 1, n), "US-ASCII").cast("long")
-    parts = files.select(digits(0, 10).alias("p"), (digits(10, 20) + digits(30, 20)).alias("upto")).groupBy("p").agg(F.max("upto").alias("n"))
-    order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("p", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    base.ship(files.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -284,6 +276,11 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(np.full(len(n), s.part)), pa.array(s.offsets[:-1] + s.before), pa.array(n), pa.array(crc, pa.int64()), pa.array(middle, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32", "middle_id"])
 
     rows = files.select("content").mapInArrow(run, "doc_id long, part long, place long, n_tokens long, ids_crc32 long, middle_id long")
+    # dealt by task once, for the sums and for the rows
+    rows = rows.repartition("part")
+    parts = rows.groupBy(F.col("part").alias("p")).agg(F.max(F.col("place") + F.col("n_tokens")).alias("n"))
+    order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("p", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     return rows.join(starts, F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "middle_id")
 
 

@@ -86,23 +86,34 @@ class WordCoder:
     """Ids of text columns from ``encode(words)``, which gives those of each word as little-endian uint32 bytes.
 
     A word here is a run without ASCII white space; ``encode`` has to deal with other white space inside it. Results
-    are kept for later steps; with ``cut`` words are first cut into units (see ``units``). ``most`` words of up to ``longest`` bytes bound the memory of a Python worker.
+    are kept for later steps; with ``cut`` words are first cut into units (see ``units``). ``most`` words of up to
+    ``longest`` bytes bound the memory of a Python worker: once half as many have come since the last time, those go that
+    have not been met since then.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: bool = True, most: int = 500_000, longest: int = 64):
-        self.encode, self.cut, self.most, self.longest, self.known = encode, cut, most, longest, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: bool = True, most: int = 300_000, longest: int = 64):
+        self.encode, self.cut, self.most, self.longest, self.known, self.older = encode, cut, most, longest, {}, {}
 
     def words(self, keys: list[bytes]) -> list[bytes]:
-        known = self.known
-        if len(known) >= self.most:
-            known.clear()
+        if len(self.known) >= self.most // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         out = list(map(known.get, keys))
-        fresh = [k for k, v in zip(keys, out) if v is None]
-        if fresh:
-            new = dict(zip(fresh, self.encode([k.decode() for k in fresh])))
-            room = self.most - len(known)
-            known.update((k, v) for k, v in list(new.items())[: max(0, room)] if len(k) <= self.longest)
-            out = [new[k] if v is None else v for k, v in zip(keys, out)]
+        miss = [i for i, v in enumerate(out) if v is None]
+        if older:
+            new, miss = miss, []
+            for i, v in zip(new, map(older.get, [keys[i] for i in new])):
+                if v is None:
+                    miss.append(i)
+                else:
+                    out[i] = known[keys[i]] = v
+        if miss:
+            fresh = [keys[i] for i in miss]
+            coded = self.encode([k.decode() for k in fresh])
+            for i, v in zip(miss, coded):
+                out[i] = v
+            room = max(0, self.most // 2 - len(known))
+            known.update([(k, v) for k, v in zip(fresh[:room], coded) if len(k) <= self.longest])
         return out
 
     def column(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +147,22 @@ class WordCoder:
         return ids, edge[first]
 
 
-def by_pieces(encode_pieces: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 200_000) -> Callable[[list[str]], list[bytes]]:
-    """An encoder of words from one of pieces (for plain words; kept) and a general one for the others."""
-    known: dict[str, bytes] = {}
+def by_pieces(encode_pieces: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
+    """An encoder of words from one of pieces, for plain words, and a general one for the others."""
 
     def encode(words: list[str]) -> list[bytes]:
-        if len(known) > most:
-            known.clear()
-        split = [plain_pieces(w) for w in words]
-        fresh = list({p for pieces in split if pieces for p in pieces if p not in known})
-        known.update(zip(fresh, encode_pieces(fresh)))
-        others = iter(encode_words([w for w, p in zip(words, split) if p is None]))
-        return [next(others) if p is None else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split]
+        # most words are a piece as they are, and few come twice
+        letters = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
+        out: list = [None] * len(words)
+        for i, v in zip(letters, encode_pieces([words[i].lower() for i in letters])):
+            out[i] = v
+        rest = [i for i, v in enumerate(out) if v is None]
+        split = [plain_pieces(words[i]) for i in rest]
+        fresh = list({p for pieces in split if pieces for p in pieces})
+        known = dict(zip(fresh, encode_pieces(fresh)))
+        others = iter(encode_words([words[i] for i, p in zip(rest, split) if p is None]))
+        for i, p in zip(rest, split):
+            out[i] = next(others) if p is None else b"".join([known[x] for x in p])
+        return out
 
     return encode
