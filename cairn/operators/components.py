@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairn.plans.durable import drop_durable, durable
+from cairn.plans.ship import ship
 
 #: Edges that one task may finish alone (16 bytes each), and edges that become stars at once.
 SMALL, CHUNK = 1 << 18, 1 << 18
@@ -77,6 +78,7 @@ def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
 
     Loops and repeated edges do no harm; rows with a null end are no edges. A node with loops only is its own component.
     """
+    ship(edges.sparkSession)
     a, b = (F.col(f"`{c}`").cast("long") for c in edges.columns[:2])
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("ok")).filter("ok").select("u", "v")
     now, size = _written(pairs.mapInArrow(_stars, "u long, v long"), many=True)

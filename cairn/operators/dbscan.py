@@ -140,6 +140,7 @@ def breakdown(pts: DataFrame, eps: float, min_pts: int = 5, tile: int = TILE) ->
     """(rank, compute_s, comm_s) of each task that clusters tiles: seconds of work, and of waiting for shuffled rows.
 
     Empty where the points are clustered by joins."""
+    check(pts, eps)
     plan = _tiles(pts, eps, tile) if axes(pts) and eps > 0 else None
     if plan is None:
         return pts.sparkSession.createDataFrame([], "rank int, compute_s double, comm_s double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.ship import ship
+
 #: Dimensions up to which coordinates are columns of their own.
 FEW = 3
 
@@ -28,6 +30,8 @@ def axes(pts: DataFrame) -> list[str]:
 
 
 def check(pts: DataFrame, eps: float) -> None:
+    """Raise ``ValueError`` for no point table or no radius; ship the package to the executors."""
+    ship(pts.sparkSession)
     if not eps >= 0 or eps == float("inf"):
         raise ValueError("eps has to be a finite number, zero or more")
     if "id" not in pts.columns or not (axes(pts) or "coords" in pts.columns):
