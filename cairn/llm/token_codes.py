@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -257,25 +258,43 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = END_ID, chunk_b
     return spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
 
 
+def local_path(path: str) -> str | None:
+    """The path that Python opens of a file in a mounted folder; None of one that only Spark opens."""
+    return unquote(urlsplit(path).path) if path.startswith("file:") else path if path.startswith("/") else None
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, middle_id) of every document, all from the files' bytes.
 
-    ``middle_id`` is the id at half the document's length, rounded down, which is read alone. A shard knows the tokens before it in its
-    task; those of the tasks before come from a running sum over one small row a writing task.
+    ``middle_id`` is the id at half the document's length, rounded down, which is read alone. A shard knows the tokens
+    before it in its task; those of the tasks before come from a running sum over one small row a writing task. Files in a
+    mounted folder are opened by path and read shard by shard, others come whole through Spark.
     """
     base.ship(files.sparkSession)
 
-    def run(batches):
+    def rows_of(s: Shard) -> pa.RecordBatch:
+        ids = memoryview(s.decode().astype("<u4").view(np.uint8))
+        o, n = s.offsets.tolist(), np.diff(s.offsets)
+        crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(o, o[1:])]
+        middle = [s[i] for i in (s.offsets[:-1] + n // 2).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(np.full(len(n), s.part)), pa.array(s.offsets[:-1] + s.before), pa.array(n), pa.array(crc, pa.int64()), pa.array(middle, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32", "middle_id"])
+
+    def by_path(batches):
+        # a shard at a time, whatever the size of the file
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with open(local_path(path), "rb") as f:
+                    while head := f.read(struct.calcsize(HEAD)):
+                        yield rows_of(Shard(head + f.read(_head(head)[3] + 1 - len(head))))
+
+    def by_content(batches):
         for batch in batches:
             for blob in batch.column("content"):
-                for s in shards_of(blob.as_buffer()):
-                    ids = memoryview(s.decode().astype("<u4").view(np.uint8))
-                    o, n = s.offsets.tolist(), np.diff(s.offsets)
-                    crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(o, o[1:])]
-                    middle = [s[i] for i in (s.offsets[:-1] + n // 2).tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(np.full(len(n), s.part)), pa.array(s.offsets[:-1] + s.before), pa.array(n), pa.array(crc, pa.int64()), pa.array(middle, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32", "middle_id"])
-
-    rows = files.select("content").mapInArrow(run, "doc_id long, part long, place long, n_tokens long, ids_crc32 long, middle_id long")
+                yield from map(rows_of, shards_of(blob.as_buffer()))
+
+    kinds = "doc_id long, part long, place long, n_tokens long, ids_crc32 long, middle_id long"
+    local = all(local_path(p) for p in files.inputFiles()[:1])
+    rows = files.select("path").mapInArrow(by_path, kinds) if local else files.select("content").mapInArrow(by_content, kinds)
     # dealt by task once, for the sums and for the rows
     rows = rows.repartition("part")
     parts = rows.groupBy(F.col("part").alias("p")).agg(F.max(F.col("place") + F.col("n_tokens")).alias("n"))
