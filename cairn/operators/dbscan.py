@@ -11,7 +11,7 @@ import time
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import finite, in_box, within
@@ -45,22 +45,22 @@ def dbscan(pts: DataFrame, eps: float, min_pts: int = 5, tile: int = TILE, small
     """
     check(pts, eps)
     if axes(pts) and eps > 0 and tile > 0 and (plan := _tiles(pts, eps, tile)):
-        local = _tiled(pts, eps, min_pts, *plan)
+        local, shared = _tiled(pts, eps, min_pts, *plan)
         bad = pts.filter(~F.coalesce(reduce(lambda s, t: s & t, (finite(F.col(c)) for c in axes(pts))), F.lit(False)))
-        rows, links = local.filter("kind = 0").select("id", "is_core", "name").unionByName(_alone(bad.select("id"), min_pts)), local.filter("kind = 1").select("name", "id")
+        rows, links = local.filter("kind = 0").select("id", "is_core", "name").unionByName(_alone(bad.select("id"), min_pts)), local.filter("kind = 1").select("name", "id") if shared else None
     else:
         members = _few(pts, eps, min_pts, small) if axes(pts) else _many(pts, eps, min_pts, small)
         lost = pts.select("id").join(members.select(F.col("id").alias("m")), F.col("id") == F.col("m"), "left_anti")
         rows, links = members.select("id", "is_core", F.col("component").alias("name")).unionByName(_alone(lost, min_pts)), None
     firsts = rows.filter("name is not null").groupBy("name").agg(F.min("id").alias("first"))
-    if links is not None:
-        found = connected_components(links, small)
-        firsts = firsts.join(found, F.col("name") == F.col("node"), "left").select("name", F.coalesce("component", "name").alias("component"), "first")
+    if links is None:
+        # every name is a cluster of its own
+        labels = rank_by(firsts, ["first"], "rank").select(F.col("name").alias("n"), F.col("rank").cast("long").alias("label"))
     else:
-        firsts = firsts.withColumn("component", F.col("name"))
-    firsts = durable(firsts, "firsts", small=True)
-    ranks = rank_by(firsts.groupBy("component").agg(F.min("first").alias("least")), ["least"], "rank")
-    labels = firsts.select(F.col("name").alias("n"), F.col("component").alias("c")).join(ranks, F.col("c") == F.col("component")).select("n", F.col("rank").cast("long").alias("label"))
+        found = connected_components(links, small)
+        firsts = durable(firsts.join(found, F.col("name") == F.col("node"), "left").select("name", F.coalesce("component", "name").alias("c"), "first"), "firsts", small=True)
+        ranks = rank_by(firsts.groupBy(F.col("c").alias("component")).agg(F.min("first").alias("first")), ["first"], "rank")
+        labels = firsts.join(ranks, F.col("c") == F.col("component")).select(F.col("name").alias("n"), F.col("rank").cast("long").alias("label"))
     return rows.join(labels, F.col("name") == F.col("n"), "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), "is_core")
 
 
@@ -110,8 +110,8 @@ def _base(eps: float) -> float:
     return 2 * eps * (1 + 8 * SLACK)
 
 
-def _tiled(pts: DataFrame, eps: float, min_pts: int, low: list[float], last: list[int], side: float) -> DataFrame:
-    """Durable table of what ``by_tile`` finds, by tiles that overlap.
+def _tiled(pts: DataFrame, eps: float, min_pts: int, low: list[float], last: list[int], side: float) -> tuple[DataFrame, int]:
+    """Durable table of what ``by_tile`` finds, by tiles that overlap, and the number of its links.
 
     A tile gets its own points and those within 2 eps of it, so whatever lies within eps of it has all its neighbours
     there: the core flags of its own points are right, and so are their links and the lowest core neighbours of its border
@@ -133,7 +133,9 @@ def _tiled(pts: DataFrame, eps: float, min_pts: int, low: list[float], last: lis
     tiles = [f"t{k}" for k in range(d)]
     dealt = good.withColumn("at", F.explode(F.expr(f"filter(array({', '.join(moves)}), m -> m is not null)"))).select("at.home", "at.shared", "id", *names, *(f"at.{t}" for t in tiles))
     local = dealt.repartition(scan_parts(pts), *tiles).sortWithinPartitions(*tiles).mapInArrow(by_tile(eps, min_pts, SLACK, d), TILED)
-    return durable(local, "tiled")
+    seen = Observation()
+    table = durable(local.observe(seen, F.count_if(F.col("kind") == 1).alias("links")), "tiled")
+    return table, seen.get["links"]
 
 
 def breakdown(pts: DataFrame, eps: float, min_pts: int = 5, tile: int = TILE) -> DataFrame:
@@ -145,7 +147,7 @@ def breakdown(pts: DataFrame, eps: float, min_pts: int = 5, tile: int = TILE) ->
     if plan is None:
         return pts.sparkSession.createDataFrame([], "rank int, compute_s double, comm_s double")
     seconds = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("name"))) / 1e9
-    times = _tiled(pts, eps, min_pts, *plan).filter("kind >= 2").groupBy(F.col("id").cast("int").alias("rank"))
+    times = _tiled(pts, eps, min_pts, *plan)[0].filter("kind >= 2").groupBy(F.col("id").cast("int").alias("rank"))
     return times.agg(seconds(2).alias("compute_s"), seconds(3).alias("comm_s"))
 
 
