@@ -210,7 +210,7 @@ def signed(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "tie", "set", "n", "fingerprint"])
 
     table = base.tied(docs).mapInArrow(run, "doc_id long, tie long, set binary, n long, fingerprint binary")
-    return base.durable(table.withColumn("row", F.monotonically_increasing_id()), "minhash")
+    return base.durable(table.withColumn("row", F.monotonically_increasing_id()), "minhash", small=True)
 
 
 def classes(docs: DataFrame, table: DataFrame, p: MinHash = MinHash()) -> DataFrame:

@@ -117,7 +117,7 @@ def _order(epoch: Column, seed: int) -> list[Column]:
 
 def cuts(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
     """Per leaf: whole epochs, and the order key (k, i, t) before which documents of the next epoch are taken."""
-    lean = base.durable(_keyed(docs, domain)[0].select("id", *PATHS, "tie", "n"), "mix")
+    lean = base.durable(_keyed(docs, domain)[0].select("id", *PATHS, "tie", "n"), "mix", small=True)
     leaves = base.durable(lean.groupBy(*PATHS).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "leaves")
     some = F.col("tokens") > 0
     whole = F.when(some, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(1)

@@ -110,7 +110,7 @@ def number(rows: DataFrame, ranges: int) -> DataFrame:
     """``rows`` with ``slot``: gapless from 0 within a shard."""
     digits, _ = _hash(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
     order = ["digits", "doc_id", "text_crc32", "size", "row"]
-    keyed = base.durable(rows.withColumn("digits", digits).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    keyed = base.durable(rows.withColumn("digits", digits).withColumn("row", F.monotonically_increasing_id()), "keyed", small=True)
     dealt = base.durable(keyed.repartitionByRange(ranges, "shard", *order).withColumn("part", F.spark_partition_id()), "dealt")
     sizes = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     # one small row a shard and range

@@ -199,7 +199,7 @@ def labels(prints: DataFrame, bits: int = 4, plan: Layout | None = None) -> Data
 
 def components(docs: DataFrame, bits: int = 4, shingle: int = 4, plan: Layout | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every document: the smallest doc_id that links of at most ``bits`` bits reach."""
-    prints = base.durable(fingerprints(docs, shingle), "simhash")
+    prints = base.durable(fingerprints(docs, shingle), "simhash", small=True)
     return prints.join(labels(prints, bits, plan).drop("label"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -208,7 +208,7 @@ def one_of_each(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
 
     Of repeated rows, and of a component without any doc_id, the row whose text has the smallest hash stays.
     """
-    prints = base.durable(fingerprints(docs, shingle), "simhash")
+    prints = base.durable(fingerprints(docs, shingle), "simhash", small=True)
     found = base.durable(prints.join(labels(prints, bits), "fp").select("doc_id", "fp", "component_id", "label"), "components")
 
     def prints_of(column: pa.Array) -> pa.Array:
