@@ -12,7 +12,7 @@ _SHIPPED: set[str] = set()
 
 
 #: Rows of a batch between Spark and Python, unless the session says otherwise: whole texts make batches large.
-BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def ship(spark: SparkSession) -> None:
