@@ -66,10 +66,10 @@ def _stars(batches):
         yield close()
 
 
-def _written(edges: DataFrame, many: bool = False) -> tuple[DataFrame, tuple[int, int]]:
-    """A durable table of ``edges`` (u, v), the result of ``many`` tasks or few, with their number and a hash of them all."""
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """A durable table of ``edges`` (u, v) with their number and a hash of them all."""
     seen = Observation()
-    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")), "edges", small=many)
+    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")), "edges")
     return out, (seen.get["n"], seen.get["h"])
 
 
@@ -81,7 +81,8 @@ def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     ship(edges.sparkSession)
     a, b = (F.col(f"`{c}`").cast("long") for c in edges.columns[:2])
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("ok")).filter("ok").select("u", "v")
-    now, size = _written(pairs.mapInArrow(_stars, "u long, v long"), many=True)
+    # first dealt anew: a task that finds edges in Python then needs no second worker beside the first
+    now, size = _written(pairs.hint("rebalance").mapInArrow(_stars, "u long, v long"))
     loops, keep, seen = now.filter("u = v"), [now], None
     while size[0] > small and size != seen:
         seen, linked = size, now.filter("u <> v")
