@@ -244,7 +244,7 @@ def coder(vocab: str) -> tuple[Bpe, WordCoder]:
     if vocab not in _CODERS:
         bpe = Bpe(vocab)
         # a worker lives on between tasks and stages, so what it keeps is small
-        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_words), most=300_000)
+        _CODERS[vocab] = bpe, WordCoder(by_pieces(bpe.encode_pieces, bpe.encode_words), most=100_000)
     return _CODERS[vocab]
 
 
@@ -287,7 +287,7 @@ def round_trip(docs: DataFrame, vocab: str) -> DataFrame:
 
     def run(batches):
         bpe, words = coder(vocab)
-        for batch in base.text_steps(batches, base.STEP_BYTES // 2):
+        for batch in base.text_steps(batches, base.STEP_BYTES // 4):
             ids, o = words.column(batch.column("text"))
             codes = ids.astype("<u4")
             parts = [codes[a:b] for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
