@@ -192,6 +192,34 @@ def _timed(batches, waited: list[int]):
         yield batch
 
 
+def by_batch(work, d: int):
+    """For ``mapInArrow`` over (home, flag, id, x0, ..., t0, ...) in the order of the tiles t0, ...: what ``work`` yields of
+    whole tiles, some at once. It gets a list of parts (home, flag, ids, x, number of the tile)."""
+
+    def tiles(batches):
+        held, size, last, number = [], 0, None, -1
+        for b in batches:
+            home, shared, ids, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(ids):
+                continue
+            x, tile = np.array(rest[:d], float), np.array(rest[d:], np.int64)
+            edges = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
+            for start, stop in zip(edges, edges[1:]):
+                if last is None or start or (tile[:, 0] != last).any():
+                    # another tile: those before it are whole
+                    if size >= BATCH:
+                        yield from work(held)
+                        held, size, number = [], 0, -1
+                    number += 1
+                held.append((home[start:stop], shared[start:stop], ids[start:stop], x[:, start:stop], np.full(stop - start, number)))
+                size += stop - start
+            last = tile[:, -1]
+        if held:
+            yield from work(held)
+
+    return tiles
+
+
 def by_tile(eps: float, min_pts: int, slack: float, d: int):
     """For ``mapInArrow`` over (home, shared, id, x0, ..., t0, ...) in the order of the tiles t0, ...: rows of ``TILED``.
 
@@ -222,6 +250,8 @@ def by_tile(eps: float, min_pts: int, slack: float, d: int):
         mask = np.concatenate([comp[home] < 0, np.zeros(int(link.sum()), bool)])
         yield pa.RecordBatch.from_arrays([pa.array(kind), column(ids), column(core), pa.array(np.concatenate([name[home], name[link]]), mask=mask)], ["kind", "id", "is_core", "name"])
 
+    tiles = by_batch(clustered, d)
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -230,25 +260,4 @@ def by_tile(eps: float, min_pts: int, slack: float, d: int):
         spent = [time.perf_counter_ns() - start - waited[0], waited[0]]
         yield pa.RecordBatch.from_arrays([pa.array([2, 3], pa.int32()), pa.array([TaskContext.get().partitionId()] * 2, pa.int64()), pa.nulls(2, pa.bool_()), pa.array(spent)], ["kind", "id", "is_core", "name"])
 
-    def tiles(batches):
-        held, size, last, number = [], 0, None, -1
-        for b in batches:
-            home, shared, ids, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(ids):
-                continue
-            x, tile = np.array(rest[:d], float), np.array(rest[d:], np.int64)
-            edges = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
-            for start, stop in zip(edges, edges[1:]):
-                if last is None or start or (tile[:, 0] != last).any():
-                    # another tile: those before it are whole
-                    if size >= BATCH:
-                        yield from clustered(held)
-                        held, size, number = [], 0, -1
-                    number += 1
-                held.append((home[start:stop], shared[start:stop], ids[start:stop], x[:, start:stop], np.full(stop - start, number)))
-                size += stop - start
-            last = tile[:, -1]
-        if held:
-            yield from clustered(held)
-
     return run
