@@ -158,12 +158,16 @@ def q_breakdown(spark, sf_dir):
     return times.agg((F.count("*") > 0).alias("some"), F.bool_and((F.col("compute_s") >= 0) & (F.col("comm_s") >= 0)).alias("complete"))
 
 
-def q_cross_edges(spark, sf_dir):
-    """Core edges whose ends lie in different blocks, with both ends' blocks."""
-    edges, core = _edges_and_core(spark, sf_dir)
-    blocks = _boxed(spark, sf_dir).select("id", "block")
-    ends = core_edges(edges, core).join(blocks.select(F.col("id").alias("src"), F.col("block").alias("src_block")), "src").join(blocks.select(F.col("id").alias("dst"), F.col("block").alias("dst_block")), "dst")
-    return ends.filter("src_block < dst_block").select("src", "dst", "src_block", "dst_block")
+def q_cross_edges(spark, sf_dir, parts=8):
+    """Core edges whose ends lie in different blocks, with both ends' blocks. Blocks are ranges of ids, told by their ends."""
+    pts = read(spark, sf_dir, "customer")
+    ends = partition.block_partition(pts, parts, ["id"]).groupBy("block").agg(F.max("id").alias("last")).orderBy("block").collect()
+
+    def block(end: str):
+        return F.expr(f"CASE {' '.join(f'WHEN {end} <= {r.last}L THEN {r.block}' for r in ends)} END") if ends else F.lit(None).cast("int")
+
+    edges = core_pairs(pts, EPS["customer"], MIN_PTS).select("src", "dst", block("src").alias("src_block"), block("dst").alias("dst_block"))
+    return edges.filter("src_block < dst_block")
 
 
 def q_components_distributed(spark, sf_dir):
