@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions.geometry import is_power_of_two
 from cairn.operators import metrics, partition
-from cairn.operators.components import SMALL, connected_components
+from cairn.operators.components import SMALL
 from cairn.operators.dbscan import TILE, breakdown, core_components, dbscan, dense_relabel, remap_apply, verify
-from cairn.operators.neighbors import border_lowest, border_pairs, core_edges, core_pairs, core_points, eps_neighbors, neighbor_counts
+from cairn.operators.neighbors import border_lowest, border_pairs, core_pairs, core_points, eps_neighbors, neighbor_counts
 from cairn.operators.points import points
 from cairn.plans.durable import durable, shared_dir, shared_path
 from cairn.plans.guard import builds
@@ -47,11 +47,6 @@ def q_dbscan(spark, sf_dir, name, eps=None, tile=TILE, small=SMALL):
     return dbscan(read(spark, sf_dir, name), eps or EPS[name], MIN_PTS, tile, small)
 
 
-def _edges_and_core(spark, sf_dir, name="customer"):
-    pts = read(spark, sf_dir, name)
-    return durable(eps_neighbors(pts, EPS[name]), "edges"), durable(core_points(pts, EPS[name], MIN_PTS), "core")
-
-
 def q_components(spark, sf_dir, tile=TILE, small=SMALL):
     return core_components(read(spark, sf_dir, "customer"), EPS["customer"], MIN_PTS, tile, small)
 
@@ -170,13 +165,11 @@ def q_cross_edges(spark, sf_dir, parts=8):
 
 
 def q_components_distributed(spark, sf_dir):
-    """Rounds of stars to the end, whatever the size."""
-    edges, core = _edges_and_core(spark, sf_dir)
-    return connected_components(core_edges(edges, core), small=0).select(F.col("node").alias("id"), "component")
+    """By many tiles, and rounds of stars to the end, whatever the size."""
+    return q_components(spark, sf_dir, 200, 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    edges = lambda f: lambda spark, d: f(*_edges_and_core(spark, d))
     customer = lambda f: lambda spark, d: f(read(spark, d, "customer"))
     eps = EPS["customer"]
     lineitem = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet")
