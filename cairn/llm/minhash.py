@@ -7,7 +7,8 @@ are kept. The share of equal components, corrected for chance, estimates the Jac
 ``near_duplicates`` joins bands of the signature in Spark and verifies links by the exact Jaccard likeness of the sets;
 equal sets are one class from the start, keys over the same documents count once, links within a band key come out as a
 spanning forest, and keys of many documents are dealt to pairs of blocks. A pair of likeness J shares a key of r rows in
-one of b bands with probability 1 - (1 - J^r)^b: at 0.8, 0.9998 with 16 bands of 4, and all but 5 in 10^8 with 32. The
+one of b bands with probability 1 - (1 - J^r)^b: at 0.8, 0.9998 with 16 bands of 4, and all but 5 in 10^8 with 32. With
+``bits``, operator 3's deletion-variant signatures find candidates first, and bands those that it misses. The
 registered query has both: fingerprints beside edited texts, and each document's class.
 
 Edge cases: a null or empty text, or one of white space, has no shingles; all such are alike (likeness 1) and unlike any
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm import base
+from cairn.llm import base, simhash
 from cairn.operators.components import connected_components
 
 #: Documents, and shingles of theirs, of a band key that a task compares at once.
@@ -43,6 +44,8 @@ class MinHash:
     bands: int = 16
     threshold: float = 0.8
     seed: int = 5
+    #: Where it is set, texts whose SimHash over the same shingles links at so many bits are candidates too.
+    bits: int | None = None
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -200,23 +203,29 @@ def _shared(batches):
 
 
 def signed(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """Durable table of every document's (row, doc_id, tie, set, n, fingerprint); see ``compare_edits``."""
+    """Durable table of every document's (row, doc_id, tie, set, n, fingerprint), with ``bits`` also its SimHash ``fp``; see
+    ``compare_edits``."""
+    names = ["doc_id", "tie", "set", "n", "fingerprint", *(["fp"] if p.bits is not None else [])]
 
     def run(batches):
         for batch in base.text_steps(batches):
-            found = shingles_of(*base.flat(batch.column("text")), p.shingle)
-            names, sizes = set_names(*found)
+            flat = base.flat(batch.column("text"))
+            found = shingles_of(*flat, p.shingle)
+            sets, sizes = set_names(*found)
             prints = [s.tobytes() for s in signatures(*found, p)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "tie", "set", "n", "fingerprint"])
+            own = [batch.column("doc_id"), batch.column("tie"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
+            if p.bits is not None:
+                own.append(pa.array(simhash.fingerprints_of(*flat, p.shingle).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(own, names)
 
-    table = base.tied(docs).mapInArrow(run, "doc_id long, tie long, set binary, n long, fingerprint binary")
+    table = base.tied(docs).mapInArrow(run, "doc_id long, tie long, set binary, n long, fingerprint binary" + (", fp long" if p.bits is not None else ""))
     return base.durable(table.withColumn("row", F.monotonically_increasing_id()), "minhash", small=True)
 
 
 def classes(docs: DataFrame, table: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """(doc_id, set, class_id, label) of every document: links are Jaccard ``threshold`` or more, ``label`` names the class.
 
-    ``table`` has a row (row, doc_id, tie, set, n, fingerprint) for each of ``docs``, as ``signed`` makes them.
+    ``table`` has a row (row, doc_id, tie, set, n, fingerprint, and fp with ``bits``) for each of ``docs``, as ``signed`` makes them.
     """
 
     def keyed(batches):
@@ -227,8 +236,12 @@ def classes(docs: DataFrame, table: DataFrame, p: MinHash = MinHash()) -> DataFr
 
     # equal sets are one node, named by the row that stands for all of them; an empty one has no keys
     sets = base.durable(table.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("node")), "sets")
-    heads = table.filter("n > 0").select(F.col("row").alias("node"), "n", "fingerprint").join(sets.select("node").hint("merge"), "node")
+    heads = table.filter("n > 0").withColumnRenamed("row", "node").join(sets.select("node").hint("merge"), "node")
     index = heads.select("node", "n", "fingerprint").mapInArrow(keyed, "node long, n long, key long")
+    if p.bits is not None:
+        # a SimHash component is a key: whatever its links connect is compared, so that none is lost with a link that fails
+        linked = simhash.labels(heads.select(F.col("node").alias("doc_id"), "fp"), p.bits).select("fp", F.xxhash64(F.lit("simhash"), "label").alias("key"))
+        index = index.unionByName(heads.select("node", "n", "fp").join(linked, "fp").select("node", "n", "key"))
     shared = base.durable(index.repartition(base.scan_parts(docs), "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, c long, grams long, x long, y long"), "shared", small=True)
     # keys over the same documents are compared once
     counts = shared.groupBy("key").agg(*(F.first(c).alias(c) for c in ("c", "grams", "x", "y"))).groupBy("c", "grams", "x", "y").agg(F.min("key").alias("key"))

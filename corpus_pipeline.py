@@ -2,7 +2,8 @@
 
 1. ``quality``: a factorisation machine scores whole texts; documents below the threshold go.
 2. ``near_dedup``: groups of texts whose sets of five-word runs have a Jaccard likeness of 0.8 or more; the document of
-   smallest doc_id of each group stays.
+   smallest doc_id of each group stays. Candidates come from operator 3's SimHash by deletion variants and from bands for
+   pairs that it misses; the exact likeness decides.
 3. ``repeats``: strings of 100 bytes that start earlier elsewhere are cut out of the texts; all documents stay.
 4. ``mix``: documents are chosen by token budgets down the domain-language-source tree.
 5. ``bpe``: texts as token ids, with digests of the ids and of what they decode to (lower-cased pieces, not the text).
@@ -22,8 +23,9 @@ from cairn.plans.ship import ship
 
 #: Share of the tokens that the mix takes.
 FRACTION = 0.8
-#: Near copies share 0.8 of their runs of five words, checked exactly; 32 bands find all such pairs but 5 in 10^8.
-NEAR = minhash.MinHash(perms=128, bands=32, shingle=5, threshold=0.8)
+#: Near copies share 0.8 of their runs of five words, checked exactly. SimHashes of these runs link at 4 or fewer differing
+#: bits, complete by deletion variants; at 0.8 many differ in more, and of such pairs 32 bands find all but 5 in 10^8.
+NEAR = minhash.MinHash(perms=128, bands=32, shingle=5, threshold=0.8, bits=4)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
